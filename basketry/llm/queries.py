@@ -4,16 +4,24 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from basketry.llm import bpe, exact_dedup, mixing
+from basketry.llm import bpe, exact_dedup, mixing, quality, toxicity
 from basketry.llm.common import table
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op1_quality(spark, d):
+    return quality.classify_quality(table(spark, d, "documents"), table(spark, d, "labels"))
+
+
 def op3_mixing(spark, d):
     return mixing.mix(table(spark, d, "documents")).select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
 
 
+def op5_toxicity(spark, d):
+    return toxicity.classify_toxicity(table(spark, d, "documents"), table(spark, d, "labels"))
+
+
 def op7_exact_dedup(spark, d):
     return exact_dedup.exact_dedup(table(spark, d, "documents"))
 
@@ -22,6 +30,6 @@ def op8_bpe(spark, d):
     return bpe.bpe_digests(table(spark, d, "documents"), TOKENIZER)
 
 
-LLM = {"op3_mixing": op3_mixing, "op7_exact_dedup": op7_exact_dedup, "op8_bpe": op8_bpe}
+LLM = {"op1_quality": op1_quality, "op3_mixing": op3_mixing, "op5_toxicity": op5_toxicity, "op7_exact_dedup": op7_exact_dedup, "op8_bpe": op8_bpe}
 
 LLM_SQL = {"op7_exact_dedup": exact_dedup.SQL}
