@@ -30,9 +30,11 @@ def _segment(keys: np.ndarray, n: int) -> np.ndarray:
     return (keys.astype(np.uint64) >> np.uint64(32)).astype(np.int64) % n
 
 
-def seen_twice(hashes: DataFrame, key: str, n_rows: int, max_bytes: int = 64 << 20, bits_per_row: int = 16) -> list[bytes] | None:
+def seen_twice(hashes: DataFrame, key: str, n_rows: int, max_bytes: int = 64 << 20, bits_per_row: int = 16, least: int = 2) -> list[bytes] | None:
     """Bits of filter B, one item a segment, or None if they would take more than ``max_bytes``.
 
+    With ``least=1`` those of filter A, for membership.
+
     Filter A takes every hash; a bit that a further hash sets again goes to B. A hash that occurs twice has all its
     bits in B, so none is missed. Each segment is built by a task of its own from about 65,000 hashes, and a map task
     sends a hash twice at most, so copies don't pile up.
@@ -66,7 +68,7 @@ def seen_twice(hashes: DataFrame, key: str, n_rows: int, max_bytes: int = 64 <<
     def build(pdf: pd.DataFrame) -> pd.DataFrame:
         keys = np.frombuffer(b"".join(pdf["keys"]), np.int64)
         hits = np.bincount(_positions(keys).ravel(), minlength=SEGMENT_BITS)
-        return pd.DataFrame({"segment": pdf["segment"].iloc[:1], "bits": [np.packbits(hits > 1).tobytes()]})
+        return pd.DataFrame({"segment": pdf["segment"].iloc[:1], "bits": [np.packbits(hits >= least).tobytes()]})
 
     gathered = hashes.select(key).mapInPandas(gather, "segment int, keys binary")
     bits = [np.packbits(np.zeros(SEGMENT_BITS, bool)).tobytes()] * n
@@ -75,6 +77,11 @@ def seen_twice(hashes: DataFrame, key: str, n_rows: int, max_bytes: int = 64 <<
     return bits
 
 
+def members(hashes: DataFrame, key: str, max_bytes: int = 64 << 20) -> list[bytes] | None:
+    """Filter of the hashes in a table; None, which lets all pass, beyond ``max_bytes``."""
+    return seen_twice(hashes, key, hashes.count(), max_bytes, least=1)
+
+
 def may_repeat(bits: list[bytes] | None, key: Column, spark) -> Column:
     """True where the hash may occur more than once."""
     if bits is None:

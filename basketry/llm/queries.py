@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from basketry.llm import bpe, exact_dedup, mixing, quality, toxicity
+from basketry.llm import bpe, exact_dedup, mixing, near_dedup, quality, toxicity
 from basketry.llm.common import table
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -30,6 +30,10 @@ def op8_bpe(spark, d):
     return bpe.bpe_digests(table(spark, d, "documents"), TOKENIZER)
 
 
-LLM = {"op1_quality": op1_quality, "op3_mixing": op3_mixing, "op5_toxicity": op5_toxicity, "op7_exact_dedup": op7_exact_dedup, "op8_bpe": op8_bpe}
+def op9_jaccard_join(spark, d):
+    return near_dedup.near_duplicates(table(spark, d, "documents"))
+
+
+LLM = {"op1_quality": op1_quality, "op3_mixing": op3_mixing, "op5_toxicity": op5_toxicity, "op7_exact_dedup": op7_exact_dedup, "op8_bpe": op8_bpe, "op9_jaccard_join": op9_jaccard_join}
 
 LLM_SQL = {"op7_exact_dedup": exact_dedup.SQL}

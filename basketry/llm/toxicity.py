@@ -92,6 +92,11 @@ def _logit(a, b, n, m):
     return np.log((a + 0.5) / (n + 1)) - np.log((b + 0.5) / (m + 1))
 
 
+def _nested(a: str, b: str) -> bool:
+    """One matches wherever the other does: equal, or a stem of the other."""
+    return a == b or (a[-1] != " " and b.startswith(a)) or (b[-1] != " " and a.startswith(b))
+
+
 def _choose(seen: list[np.ndarray], y: np.ndarray, names: list[str], cost: float, least: int, least_again: int, size: int, cover: int = 3) -> list[int]:
     """Greedy cover: the term that adds most toxic documents for its clean ones, the longer of equals.
 
@@ -106,7 +111,7 @@ def _choose(seen: list[np.ndarray], y: np.ndarray, names: list[str], cost: float
     times = np.zeros(len(y), int)
     chosen: list[int] = []
     for depth, floor in ((1, least), (cover, max(least, least_again))):
-        open_ = set(range(len(names))) - set(chosen)
+        open_ = {t for t in range(len(names)) if not any(_nested(names[t], names[c]) for c in chosen)}
         while open_ and len(chosen) < size:
             worth = {}
             for t in list(open_):
@@ -122,8 +127,7 @@ def _choose(seen: list[np.ndarray], y: np.ndarray, names: list[str], cost: float
             if worth[best] < floor:
                 break
             chosen.append(best)
-            head = names[best]
-            open_ = {t for t in open_ if t != best and not (head[-1] != " " and names[t].startswith(head)) and not (names[t][-1] != " " and head.startswith(names[t]))}
+            open_ = {t for t in open_ if not _nested(names[t], names[best])}
             times[sets[best][0]] += 1
     return chosen
 
