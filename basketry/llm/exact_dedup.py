@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from basketry.llm.bloom import may_repeat, seen_twice
+from basketry.llm.bloom import may_repeat, members, seen_twice
 from basketry.llm.common import attach_groups, keyed, staged
 
 
@@ -40,6 +40,20 @@ def exact_dedup(docs: DataFrame, max_filter_bytes: int = 64 << 20, text: str = "
     return clear.unionByName(found).withColumn("text_sha256", F.lower(F.hex("sha"))).drop("sha")
 
 
+def distinct_documents(docs: DataFrame, **options) -> DataFrame:
+    """The rows of ``docs`` that stay. Rows that a filter of the dropped ones clears aren't shuffled."""
+    text, doc_id = options.get("text", "text"), options.get("doc_id", "doc_id")
+    lost = exact_dedup(docs, **options).filter("not kept").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_lost"), F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("_again"))
+    lost = staged(lost.distinct(), "lost")
+    bits = members(lost.select(F.xxhash64("_id", "_lost").alias("k")), "k")
+    marked = docs.withColumn("_sha", F.sha2(F.coalesce(F.col(text), F.lit("")).cast("binary"), 256))
+    marked = marked.withColumn("_maybe", may_repeat(bits, F.xxhash64(doc_id, "_sha"), docs.sparkSession))
+    doubt = marked.filter("_maybe").join(lost, (F.col("_sha") == F.col("_lost")) & F.col(doc_id).eqNullSafe(F.col("_id")), "left")
+    once = doubt.filter("_again").dropDuplicates(["_sha"])
+    cols = docs.columns
+    return marked.filter("not _maybe").select(cols).unionByName(doubt.filter("_again is null").select(cols)).unionByName(once.select(cols))
+
+
 SQL = """
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents)
 SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc_id = max(doc_id) OVER w AS kept, sha256(t) AS text_sha256

@@ -124,7 +124,7 @@ def _lowest(linked: np.ndarray, ids: np.ndarray) -> np.ndarray:
 
 
 def near_duplicates(docs: DataFrame, threshold: float = 0.8, size: int = 5, trees: int = 32, depth: int = 10, recall: float = 0.9999, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """(doc_id, class_id, n_links, n_text_links), one row per input row.
+    """(doc_id, class_id, n_links, n_text_links, text_md5), one row per input row.
 
     Two texts are linked if their sets of ``size``-word shingles have a Jaccard similarity of at least ``threshold``.
     ``class_id`` is the smallest doc_id that links lead to; ``n_links`` counts the other rows similar to this one,
@@ -201,6 +201,21 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, size: int = 5, tree
     known = attach_groups(known, staged(heads, "heads"), "root", "members", n)
     known = staged(known.select("md5", "copies", "class_id", F.coalesce("texts", F.lit(0).cast("long")).alias("texts"), F.coalesce("others", F.lit(0).cast("long")).alias("others")), "classes")
     out = attach_groups(rows.filter("keys is not null").select("doc_id", "md5"), known, "md5", "copies", n)
-    out = out.select("doc_id", "class_id", (F.col("others") + F.col("copies") - 1).alias("n_links"), F.col("texts").alias("n_text_links"))
-    lone = rows.filter("keys is null").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"), F.lit(0).cast("long").alias("n_text_links"))
+    out = out.select("doc_id", "class_id", (F.col("others") + F.col("copies") - 1).alias("n_links"), F.col("texts").alias("n_text_links"), F.lower(F.hex("md5")).alias("text_md5"))
+    lone = rows.filter("keys is null").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"), F.lit(0).cast("long").alias("n_text_links"), F.lower(F.hex("md5")).alias("text_md5"))
     return out.unionByName(lone)
+
+
+def one_of_each(docs: DataFrame, **options) -> DataFrame:
+    """The rows of ``docs`` without those whose class has a smaller id: one document of each class stays.
+
+    Rows that share the smallest id all stay, as do all rows of a class without ids.
+    """
+    text, doc_id = options.get("text", "text"), options.get("doc_id", "doc_id")
+    gone = near_duplicates(docs, **options).filter(~F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.col("doc_id").alias("_id"), F.col("text_md5").alias("_gone")).distinct()
+    gone = staged(gone, "gone")
+    bits = members(gone.select(F.xxhash64("_id", "_gone").alias("k")), "k")
+    marked = docs.withColumn("_md5", F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary"))).withColumn("_long", F.col(doc_id).cast("long"))
+    marked = marked.withColumn("_maybe", may_repeat(bits, F.xxhash64("_long", "_md5"), docs.sparkSession))
+    doubt = marked.filter("_maybe").join(gone, (F.col("_md5") == F.col("_gone")) & F.col("_long").eqNullSafe(F.col("_id")), "left_anti")
+    return marked.filter("not _maybe").unionByName(doubt).select(docs.columns)

@@ -182,15 +182,21 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", per_class:
     return fit(x, y, weight * len(y) / max(weight.sum(), 1e-9))
 
 
-def score_quality(docs: DataFrame, model: AdditiveModel, text: str = "text") -> DataFrame:
-    """``docs`` with ``score`` between 0 and 1, features and bin additions a batch at a time."""
+def score_quality(docs: DataFrame, model: AdditiveModel, text: str = "text", out: str = "score") -> DataFrame:
+    """``docs`` with column ``out``, a score between 0 and 1, features and bin additions a batch at a time."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # a few thousand numbers
 
     @F.pandas_udf("double")
     def score(texts: pd.Series) -> pd.Series:
         return pd.Series(shared.value.score(np.array([text_features(t) for t in texts], float).reshape(-1, len(FEATURES))))
 
-    return docs.withColumn("score", score(F.col(text)))
+    return docs.withColumn(out, score(F.col(text)))
+
+
+def good_documents(docs: DataFrame, labels: DataFrame, per_class: int = 8000, threshold: float = 0.5) -> DataFrame:
+    """The rows of ``docs`` with a score of at least ``threshold``."""
+    model = train(docs.select("doc_id", "text"), labels, per_class=per_class)
+    return score_quality(docs, model, out="_score").filter(F.col("_score") >= threshold).drop("_score")
 
 
 def classify_quality(docs: DataFrame, labels: DataFrame, per_class: int = 8000, threshold: float = 0.5) -> DataFrame:

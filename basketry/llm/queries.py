@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from basketry.llm import bpe, exact_dedup, mixing, near_dedup, quality, rules, toxicity, url_filter, warc
+from basketry.llm import bpe, exact_dedup, mixing, near_dedup, quality, rules, substring_dedup, toxicity, url_filter, warc
 from basketry.llm.common import table
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -22,6 +22,10 @@ def op3_mixing(spark, d):
     return mixing.mix(table(spark, d, "documents")).select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
 
 
+def op4_substring_dedup(spark, d):
+    return substring_dedup.repeated_passages(table(spark, d, "documents"))
+
+
 def op5_toxicity(spark, d):
     return toxicity.classify_toxicity(table(spark, d, "documents"), table(spark, d, "labels"))
 
@@ -47,7 +51,8 @@ def op10_warc(spark, d):
 
 
 LLM = {
-    "op1_quality": op1_quality, "op2_url_filter": op2_url_filter, "op3_mixing": op3_mixing, "op5_toxicity": op5_toxicity,
+    "op1_quality": op1_quality, "op2_url_filter": op2_url_filter, "op3_mixing": op3_mixing, "op4_substring_dedup": op4_substring_dedup,
+    "op5_toxicity": op5_toxicity,
     "op6_quality_rules": op6_quality_rules, "op7_exact_dedup": op7_exact_dedup, "op8_bpe": op8_bpe,
     "op9_jaccard_join": op9_jaccard_join, "op10_warc": op10_warc,
 }

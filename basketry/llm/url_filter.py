@@ -26,7 +26,7 @@ UNWANTED = (
 WANTED = (
     "news blog wiki docs library university school science research journal museum city government health recipe kitchen garden sports weather travel music "
     "film book books history arts forum support help mail maps photo code open data project community church family office business tools learn education "
-    "world local today times post daily home about contact article page index html story review guide"
+    "world local today times post daily home about contact article story review guide"
 ).split()
 _PARTS = re.compile(r"[a-z0-9]+|[^\W_]+")
 #: Segmented names a worker remembers.
@@ -83,7 +83,7 @@ class UrlModel:
         return self.prior + sum(self.odds.get(w, 0.0) for w in self.tokens(host, path))
 
 
-def naive_bayes(unwanted: Iterable[list[str]], wanted: Iterable[list[str]], smoothing: float = 1.0) -> dict[str, float]:
+def naive_bayes(unwanted: Iterable[list[str]], wanted: Iterable[list[str]], smoothing: float = 0.1) -> dict[str, float]:
     """Multinomial log odds per word from token lists of both classes."""
     a, b = Counter(w for x in unwanted for w in x), Counter(w for x in wanted for w in x)
     vocabulary = set(a) | set(b)
