@@ -8,6 +8,7 @@ import json
 from collections.abc import Iterator
 from functools import cache
 from pathlib import Path
+from struct import pack
 
 import numpy as np
 import pandas as pd
@@ -17,8 +18,12 @@ from pyspark.sql import functions as F
 
 #: Fixed value: how byte-level BPE splits a text into pieces.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-#: Pieces a worker remembers before it starts anew.
-MEMO = 300_000
+#: Pieces in each of the two generations that a worker remembers.
+MEMO = 250_000
+#: Fragments up to so many bytes are merged by rescanning, longer ones over a heap.
+SHORT = 24
+#: Stands for a pair that no merge joins.
+NEVER = (1 << 60, -1)
 
 
 def byte_letters() -> list[str]:
@@ -41,6 +46,23 @@ class _Memo(dict):
         return found
 
 
+class _Recent(_Memo):
+    """Two generations: once the young one is full it becomes the old one, so pieces in use stay and memory is bounded."""
+
+    def __init__(self, make, size: int):
+        super().__init__(make)
+        self.size, self.old = size, {}
+
+    def __missing__(self, key):
+        if (found := self.old.get(key)) is None:
+            found = self.make(key)
+        if len(self) >= self.size:
+            self.old = dict(self)
+            self.clear()
+        self[key] = found
+        return found
+
+
 class ForcedBoundaryBPE:
     """Encoder and decoder of a byte-level BPE vocabulary in the tokenizers library's JSON form."""
 
@@ -63,20 +85,43 @@ class ForcedBoundaryBPE:
         for token in vocab:
             t = np.frombuffer(token, np.uint8)
             self.joins[t[:-1], t[1:]] = True
+        self.joined = [row.tobytes() for row in self.joins]
         self.split = regex.compile(PATTERN).findall
         self.special = regex.compile("(" + "|".join(map(regex.escape, sorted(self.added, key=len, reverse=True))) + ")") if self.added else None
-        self.memo = _Memo(self._piece)
+        self.memo = _Recent(self._piece, MEMO)
 
     def fragments(self, data: bytes) -> list[bytes]:
         """Cut between two bytes that no vocabulary token holds side by side: no merge can ever cross there."""
-        t = np.frombuffer(data, np.uint8)
-        cuts = np.flatnonzero(~self.joins[t[:-1], t[1:]]) + 1
-        edges = [0, *cuts.tolist(), len(data)]
+        if len(data) <= SHORT:
+            joined = self.joined
+            cuts = [k for k, (a, b) in enumerate(zip(data, data[1:]), 1) if not joined[a][b]]
+        else:
+            t = np.frombuffer(data, np.uint8)
+            cuts = (np.flatnonzero(~self.joins[t[:-1], t[1:]]) + 1).tolist()
+        if not cuts:
+            return [data]
+        edges = [0, *cuts, len(data)]
         return [data[a:b] for a, b in zip(edges, edges[1:])]
 
     def _piece(self, piece: str) -> bytes:
-        ids = [i for part in self.fragments(piece.encode()) for i in self._merge(part)]
-        return np.array(ids, "<u4").tobytes()
+        ids = []
+        for part in self.fragments(piece.encode()):
+            ids += self._merge_short(part) if len(part) <= SHORT else self._merge(part)
+        return pack(f"<{len(ids)}I", *ids)
+
+    def _merge_short(self, data: bytes) -> list[int]:
+        """As ``_merge``, by looking through all pairs for each merge."""
+        ids, merges = [self.byte_ids[b] for b in data], self.merges
+        found = [merges.get(pair, NEVER) for pair in zip(ids, ids[1:])]
+        while found and (best := min(found))[0] < NEVER[0]:
+            k = found.index(best)
+            ids[k : k + 2] = [best[1]]
+            del found[k]
+            if k < len(found):
+                found[k] = merges.get((ids[k], ids[k + 1]), NEVER)
+            if k:
+                found[k - 1] = merges.get((ids[k - 1], ids[k]), NEVER)
+        return ids
 
     def _merge(self, data: bytes) -> list[int]:
         """Lowest rank first, leftmost among equals, over a linked list: n log n for a fragment of any length."""
@@ -109,8 +154,6 @@ class ForcedBoundaryBPE:
         """Ids as little-endian unsigned 32-bit integers. Added tokens in the text get their own ids."""
         if not text:
             return b""
-        if len(self.memo) > MEMO:
-            self.memo.clear()
         find = self.memo.__getitem__
         if self.special is None or not self.special.search(text):
             return b"".join(map(find, self.split(text)))
