@@ -15,7 +15,7 @@ def read_fimi(spark: SparkSession, path: str) -> DataFrame:
     # offsets within a file grow with the partition, and so does the generated id
     numbered = _numbered(staged(lines, "fimi"), [F.col("f"), F.col("m")], "tid")
     items = F.filter(F.split(F.col("value"), r"\s+"), lambda x: x != "")
-    return numbered.select(F.col("tid").cast("long").alias("tid"), F.explode(items).cast("int").alias("item")).dropna().distinct()
+    return numbered.select(F.col("tid").cast("long").alias("tid"), F.explode(items.cast("array<int>")).alias("item")).dropna().distinct()
 
 
 def write_fimi(baskets: DataFrame, path: str, mode: str = "overwrite") -> None:
