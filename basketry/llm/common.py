@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 import gc
+from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from basketry.session import shared_dir, staged, table
 
-__all__ = ["attach_groups", "held_out", "hot_limit", "keyed", "labelled_sample", "release", "shared_dir", "staged", "table", "words"]
+__all__ = ["attach_groups", "held_out", "hot_limit", "keyed", "labelled_sample", "release", "shared_dir", "sheltered", "staged", "table", "words"]
 
 #: ASCII white space; all else belongs to words.
 SPACE = "[\\x20\\x09-\\x0D]+"
@@ -39,6 +41,25 @@ def keyed(df: DataFrame) -> DataFrame:
     return df.withColumn("_rid", F.monotonically_increasing_id())
 
 
+def sheltered(operator: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """For operators that return rows of ``docs``: extra columns named with an underscore first, as helper columns are,
+    go by other names while the operator runs, so that none is hidden or overwritten."""
+
+    @wraps(operator)
+    def run(docs: DataFrame, *args, **options) -> DataFrame:
+        names, taken, safe = docs.columns, set(docs.columns), []
+        for i, name in enumerate(names):
+            if name.startswith("_") and name not in options.values():
+                name = f"x{i}{name}"
+                while name in taken:
+                    name = f"x{name}"
+                taken.add(name)
+            safe.append(name)
+        return operator(docs.toDF(*safe), *args, **options).toDF(*names)
+
+    return run
+
+
 def hot_limit(n_rows: int) -> int:
     """Groups over this size are hot; there are at most 4096 of them, whatever the input."""
     return max(64, n_rows // 4096)

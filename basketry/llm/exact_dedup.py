@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from basketry.llm.bloom import may_repeat, members, seen_twice
-from basketry.llm.common import attach_groups, keyed, staged
+from basketry.llm.common import attach_groups, keyed, sheltered, staged
 
 
 def exact_dedup(docs: DataFrame, max_filter_bytes: int = 64 << 20, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
@@ -40,6 +40,7 @@ def exact_dedup(docs: DataFrame, max_filter_bytes: int = 64 << 20, text: str = "
     return clear.unionByName(found).withColumn("text_sha256", F.lower(F.hex("sha"))).drop("sha")
 
 
+@sheltered
 def distinct_documents(docs: DataFrame, **options) -> DataFrame:
     """The rows of ``docs`` that stay. Rows that a filter of the dropped ones clears aren't shuffled."""
     text, doc_id = options.get("text", "text"), options.get("doc_id", "doc_id")

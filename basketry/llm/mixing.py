@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from basketry.llm.common import staged, words
+from basketry.llm.common import sheltered, staged, words
 
 #: Units that one leaf of the tree pairs, and residuals that one inner node does.
 LEAF = 4096
@@ -129,6 +129,7 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), cap: float = 3.
     return both.select("doc_id", "source", "size", "source_size", "target", F.when(F.col("size") > 0, F.col("copies")).otherwise(0).cast("long").alias("copies")).withColumn("taken", F.col("copies") * F.col("size"))
 
 
+@sheltered
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     """The mix itself: the rows of ``docs``, each as many times as it is taken."""
     plan = mix(docs, **options)

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from basketry.llm.bloom import may_repeat, members
-from basketry.llm.common import attach_groups, keyed, release, staged, words
+from basketry.llm.common import attach_groups, keyed, release, sheltered, staged, words
 from basketry.llm.components import components
 
 #: Members of a group that are compared in one task; larger groups are compared block by block.
@@ -206,6 +206,7 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, size: int = 5, tree
     return out.unionByName(lone)
 
 
+@sheltered
 def one_of_each(docs: DataFrame, **options) -> DataFrame:
     """The rows of ``docs`` without those whose class has a smaller id: one document of each class stays.
 

@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from basketry.llm.common import held_out, labelled_sample
+from basketry.llm.common import held_out, labelled_sample, sheltered
 
 FEATURES = [
     "log_words", "word_length", "upper", "digits", "symbols", "exclaims", "stops", "wide", "distinct_words",
@@ -193,6 +193,7 @@ def score_quality(docs: DataFrame, model: AdditiveModel, text: str = "text", out
     return docs.withColumn(out, score(F.col(text)))
 
 
+@sheltered
 def good_documents(docs: DataFrame, labels: DataFrame, per_class: int = 8000, threshold: float = 0.5) -> DataFrame:
     """The rows of ``docs`` with a score of at least ``threshold``."""
     model = train(docs.select("doc_id", "text"), labels, per_class=per_class)
