@@ -14,6 +14,8 @@ from basketry.llm.common import staged, words
 SYMBOLS = "#*$%&|<>"
 CAPITALS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 WINDOW = 8
+#: Columns that :func:`measures` adds.
+MEASURES = ("body", "w", "n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words")
 
 
 @dataclass(frozen=True)
@@ -44,12 +46,14 @@ def _covered(starts: Column) -> Column:
 
 def measures(docs: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` with ``body`` (text, null as empty), ``w`` (its words), n_words, word_chars, n_symbols, n_lines,
-    n_dup_lines and n_repeat_words.
+    n_dup_lines and n_repeat_words; these replace columns of the same names.
 
     A window of eight words is known by a 64-bit hash. Hashes and their positions are sorted within the row only
     where some hash occurs twice; the cost is n log n for a text of any length.
     """
-    df = docs.withColumn("body", F.coalesce(F.col(text), F.lit("")))
+    own = [F.col(c).alias(f"_in_{i}") for i, c in enumerate(docs.columns)]
+    names = {f"_in_{i}": c for i, c in enumerate(docs.columns) if c not in MEASURES}
+    df = docs.select(*own, F.coalesce(F.col(text), F.lit("")).alias("body"))
     df = df.withColumn("w", words(F.col("body")))
     lines = F.filter(F.split("body", "\n"), lambda x: x.rlike("[^\\x20\\x09-\\x0D]"))
     df = df.withColumn("_lines", lines).withColumn("n_words", F.size("w").cast("long"))
@@ -60,7 +64,7 @@ def measures(docs: DataFrame, text: str = "text") -> DataFrame:
     again = F.filter("_t", lambda x, i: F.coalesce(x["h"] == F.get("_t", i - 1)["h"], F.lit(False)) | F.coalesce(x["h"] == F.get("_t", i + 1)["h"], F.lit(False)))
     df = df.withColumn("_p", F.when(F.col("_t").isNotNull(), F.sort_array(F.transform(again, lambda x: x["p"]))))
     return df.select(
-        *docs.columns, "body", "w", "n_words",
+        *(F.col(k).alias(c) for k, c in names.items()), "body", "w", "n_words",
         F.length(F.translate("body", " \t\n\x0b\x0c\r", "")).cast("long").alias("word_chars"),
         (F.length("body") - F.length(F.translate("body", SYMBOLS, ""))).cast("long").alias("n_symbols"),
         F.size("_lines").cast("long").alias("n_lines"),
@@ -100,7 +104,7 @@ def cascade(docs: DataFrame, rules: tuple[Rule, ...] = RULES, base: str = BASE_F
 
     The base rule goes first, then the rules in their measured order; the disjunction stops at the first that rejects.
     Null texts count as empty; these have no words and fail the base rule. Repeated rows get the same result; an empty
-    table gives an empty result. Input columns named like a measure must be renamed first.
+    table gives an empty result. Measures and verdicts replace input columns of their names.
     """
     ordered = order_rules(docs, rules, sample_rows, text)
     df = measures(docs, text).withColumn("base_failed", F.expr(base))
