@@ -138,6 +138,12 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, size: int = 5, tree
     A text of fewer than ``size`` words is one shingle. Null texts count as empty; texts without words have no
     shingles, so no links, and their class is their own id. A null id is never a class's id unless all are null.
     """
+    return _classes(docs, threshold, size, trees, depth, recall, text, doc_id).drop("root", "single")
+
+
+def _classes(docs: DataFrame, threshold: float = 0.8, size: int = 5, trees: int = 32, depth: int = 10, recall: float = 0.9999, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """As :func:`near_duplicates`, with ``root``, the same for all rows of a class whatever their ids, and ``single``,
+    true for a row that is its whole class. Texts without words have no root."""
     spark = docs.sparkSession
     k = prefix_length(threshold, trees, depth, recall)
     body = F.coalesce(F.col(text), F.lit(""))
@@ -199,22 +205,27 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, size: int = 5, tree
     known = staged(known.withColumn("root", F.coalesce("root", "rid")), "known")
     heads = known.groupBy("root").agg(F.min("first_id").alias("class_id"), F.count(F.lit(1)).alias("members"))
     known = attach_groups(known, staged(heads, "heads"), "root", "members", n)
-    known = staged(known.select("md5", "copies", "class_id", F.coalesce("texts", F.lit(0).cast("long")).alias("texts"), F.coalesce("others", F.lit(0).cast("long")).alias("others")), "classes")
+    known = staged(known.select("md5", "copies", "class_id", "root", ((F.col("members") == 1) & (F.col("copies") == 1)).alias("single"), F.coalesce("texts", F.lit(0).cast("long")).alias("texts"), F.coalesce("others", F.lit(0).cast("long")).alias("others")), "classes")
     out = attach_groups(rows.filter("keys is not null").select("doc_id", "md5"), known, "md5", "copies", n)
-    out = out.select("doc_id", "class_id", (F.col("others") + F.col("copies") - 1).alias("n_links"), F.col("texts").alias("n_text_links"), F.lower(F.hex("md5")).alias("text_md5"))
-    lone = rows.filter("keys is null").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"), F.lit(0).cast("long").alias("n_text_links"), F.lower(F.hex("md5")).alias("text_md5"))
+    out = out.select("doc_id", "class_id", (F.col("others") + F.col("copies") - 1).alias("n_links"), F.col("texts").alias("n_text_links"), F.lower(F.hex("md5")).alias("text_md5"), "root", "single")
+    lone = rows.filter("keys is null").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"), F.lit(0).cast("long").alias("n_text_links"), F.lower(F.hex("md5")).alias("text_md5"), F.lit(None).cast("long").alias("root"), F.lit(True).alias("single"))
     return out.unionByName(lone)
 
 
 @sheltered
 def one_of_each(docs: DataFrame, **options) -> DataFrame:
-    """The rows of ``docs`` without those whose class has a smaller id: one document of each class stays.
+    """The rows of ``docs`` without near copies: one document of each class stays.
 
-    Rows that share the smallest id all stay, as do all rows of a class without ids.
+    It is the one with the smallest id, a null id being the largest; of texts with the same id the one with the
+    smallest digest. Rows equal in id and text are one document, whose rows all stay. Texts without words are in no
+    class and stay.
     """
     text, doc_id = options.get("text", "text"), options.get("doc_id", "doc_id")
-    gone = near_duplicates(docs, **options).filter(~F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.col("doc_id").alias("_id"), F.col("text_md5").alias("_gone")).distinct()
-    gone = staged(gone, "gone")
+    found = staged(_classes(docs, **options).filter("not single").select("doc_id", "text_md5", "root"), "linked")
+    here = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_md5")
+    tops = staged(found.groupBy("root").agg(F.min(here).alias("top"), F.count(F.lit(1)).alias("size")), "tops")
+    lost = attach_groups(found, tops, "root", "size", found.count()).filter(~here.eqNullSafe(F.col("top")))
+    gone = staged(lost.select(F.col("doc_id").alias("_id"), F.col("text_md5").alias("_gone")).distinct(), "gone")
     bits = members(gone.select(F.xxhash64("_id", "_gone").alias("k")), "k")
     marked = docs.withColumn("_md5", F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary"))).withColumn("_long", F.col(doc_id).cast("long"))
     marked = marked.withColumn("_maybe", may_repeat(bits, F.xxhash64("_long", "_md5"), docs.sparkSession))
