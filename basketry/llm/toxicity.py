@@ -22,6 +22,21 @@ _SIGN = re.compile(r"[0134578@$!](?=[0134578@$!]{0,3}[a-z])")
 _WORD = re.compile(r"[^\W\d_]+")
 #: Prefixes of words that may become lexicon entries have so many letters.
 STEMS = range(4, 9)
+#: Common English insults and swear words, and their plurals: entries from the start, however few documents are labelled.
+SEEDS = tuple(
+    f" {w}{end} "
+    for w in (
+        "idiot moron imbecile cretin dimwit halfwit nitwit dunce dumbass jackass dumbo fool loser scum scumbag lowlife degenerate trash garbage vermin parasite "
+        "clown freak creep pervert pig rat cockroach maggot bastard bitch whore slut asshole arsehole douchebag dickhead prick twat wanker tosser cunt faggot "
+        "retard motherfucker fucker bullshit shithead coward weakling scoundrel"
+    ).split()
+    for end in ("", "s")
+) + tuple(
+    f" {w} "
+    for w in "stupid dumb pathetic worthless disgusting despicable contemptible repulsive brainless idiotic moronic retarded subhuman shit fuck fucking fucked crap filthy filth hate loathe".split()
+)
+#: A seed weighs as if so many more toxic documents, and no clean ones, had it.
+SEED_COUNT = 2
 
 
 def fold(text: str | None) -> str:
@@ -149,8 +164,9 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_class: i
     """Learn the lexicon from at most ``per_class`` labelled documents of each class, none of them held out.
 
     Words and stems are counted by class over the sample; the ``candidates`` that best tell toxic documents apart go to
-    the driver, where a greedy cover picks at most ``size`` entries. Words that start with a chosen stem but are found
-    in clean documents for the most part become exceptions.
+    the driver, where a greedy cover picks at most ``size`` entries. SEEDS join them with weights of their own counts
+    and SEED_COUNT, unless the sample has them in clean documents too often. Words that start with a chosen stem but
+    are found in clean documents for the most part become exceptions.
     """
     spark = docs.sparkSession
     sample, sizes = labelled_sample(docs, labels, label, per_class)
@@ -172,12 +188,12 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_class: i
         return pd.Series([list(_terms(t)) for t in texts])
 
     counts = sample.select("y", F.explode(terms("t")).alias("term")).groupBy("term").agg(F.sum("y").alias("a"), F.sum(1 - F.col("y")).alias("b"))
-    counts = staged(counts.filter("a + b > 1"), "terms")
+    counts = staged(counts.filter((F.col("a") + F.col("b") > 1) | F.col("term").isin(*SEEDS)), "terms")
     least = 3 if n_toxic >= 20 else 2
     odds = F.log((F.col("a") + 0.5) / (n_toxic + 1)) - F.log((F.col("b") + 0.5) / (n_clean + 1))
     top = counts.filter(F.col("a") >= least).withColumn("odds", odds).filter("odds > 1").orderBy((F.col("a") * F.col("odds")).desc(), "term").limit(candidates).collect()
-    if not top:
-        return Lexicon(scale=(float(np.log((sizes.get(1, 0) + 0.5) / (sizes.get(0, 0) + 0.5))), 0.0, 0.0))
+    seeded = {t: (0, 0) for t in SEEDS} | {r["term"]: (r["a"], r["b"]) for r in counts.filter(F.col("term").isin(*SEEDS)).collect()}
+    seeded = {t: float(_logit(a + SEED_COUNT, b, n_toxic, n_clean)) for t, (a, b) in seeded.items()}
     names = [r["term"] for r in top]
     shared = spark.sparkContext.broadcast({t: i for i, t in enumerate(names)})
 
@@ -189,6 +205,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_class: i
     y = np.array([r["y"] for r in rows])
     chosen = _choose([np.array(r["k"], int) for r in rows], y, names, clean_cost * n_toxic / max(1, n_clean), least, max(4, n_toxic // 50), size)
     entries = {names[t]: float(np.clip(_logit(top[t]["a"], top[t]["b"], n_toxic, n_clean), 0.1, 10)) for t in chosen}
+    entries |= {t: min(w, 10.0) for t, w in seeded.items() if w > 1 and not any(_nested(t, e) for e in entries)}
     stems = [t for t in entries if not t.endswith(" ")]
     exceptions: list[str] = []
     if stems:
