@@ -83,6 +83,15 @@ def test_near_duplicates_edges(odd, none):
     assert near_dedup.one_of_each(odd).count() == len(ODD)
 
 
+def test_one_of_each_without_good_ids(spark):
+    base = " ".join(f"w{i}" for i in range(60))
+    rows = [(None, base), (None, f"{base} one"), (4, "alone here"), (5, f"x {base[3:]}"), (7, " ".join(f"v{i}" for i in range(60))), (7, " ".join(f"v{i}" for i in range(61)))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = [(r["doc_id"], r["text"]) for r in near_dedup.one_of_each(docs).collect()]
+    assert sorted(i for i, _ in got) == [4, 5, 7] and set(got) <= set(rows)
+    assert near_dedup.one_of_each(docs.filter("doc_id is null")).count() == 1
+
+
 def test_passages_by_brute_force(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     words = {r["doc_id"]: (r["text"] or "").encode().split() for r in docs.collect()}
@@ -189,6 +198,8 @@ def test_rules_edges(odd, none):
     assert len(got) == len(ODD) and not any(r["kept"] for r in got)
     assert max(r["n_repeat_words"] for r in got) == 30_000
     assert rules.rule_verdicts(none).count() == 0
+    clash = odd.withColumnsRenamed({"score": "w", "n_chars": "n_words", "lang": "kept", "source": "_h"})
+    assert sorted(r["n_words"] for r in rules.cascade(clash).collect()) == sorted(r["n_words"] for r in got)
 
 
 def test_warc_round_trip(spark):
