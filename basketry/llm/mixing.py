@@ -86,6 +86,7 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), cap: float = 3.
     totals = rows.groupBy("source").agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("n")).limit(MAX_SOURCES + 1).collect()
     if len(totals) > MAX_SOURCES:
         raise ValueError(f"more than {MAX_SOURCES} sources")
+    totals.sort(key=lambda r: (r["source"] is None, r["source"] or ""))  # numbers of sources seed the draws
     target = share_out({r["source"]: r["size"] for r in totals}, weights, cap)
     plan = pd.DataFrame({
         "source": [r["source"] for r in totals], "source_size": [r["size"] for r in totals], "target": [target[r["source"]] for r in totals],

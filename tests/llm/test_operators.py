@@ -145,6 +145,17 @@ def test_mix(spark, odd, none):
     assert mixing.share_out({"b": 10, "a": 1000, None: 10}, cap=3.0) == {"a": 960.0, "b": 30, None: 30}
 
 
+def test_mix_reruns_agree(spark):
+    rows = [(i, " ".join("w" * (1 + i % 3) for _ in range(1 + i * 7 % 23)), None if i % 9 == 8 else f"s{i % 9}") for i in range(900)]
+    runs = []
+    for parts, shuffles in ((1, 3), (7, 8), (5, 13)):
+        spark.conf.set("spark.sql.shuffle.partitions", shuffles)
+        docs = spark.createDataFrame(rows[::-1] if parts > 1 else rows, "doc_id long, text string, source string").repartition(parts)
+        runs.append(sorted((r["doc_id"], r["taken"]) for r in mixing.mix(docs).collect()))
+    spark.conf.set("spark.sql.shuffle.partitions", 8)
+    assert runs[0] == runs[1] == runs[2]
+
+
 def test_pivot_keeps_the_sum():
     rng = np.random.default_rng(0)
     w, p = np.arange(100, 0, -1.0), np.full(100, 0.37)
