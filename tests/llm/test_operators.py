@@ -108,6 +108,27 @@ def test_passages_by_brute_force(spark):
                 assert any(a <= k and k + 50 <= b for a, b in got.get(i, [])), (i, k)
 
 
+def _covered(spark, texts, at, least=50):
+    """Texts of which a row covers the ``least`` words from ``at[i]`` on."""
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = [r for r in substring_dedup.repeated_passages(docs).collect()]
+    return {r["doc_id"] for r in rows if r["doc_id"] in at and any(r["start_word"] <= a and a + least <= r["end_word"] for a in at[r["doc_id"]])}
+
+
+def test_passages_with_a_hot_piece(spark):
+    """A piece too short to be a passage, in every text; after it, words that only two share."""
+    piece = [f"licence{i}" for i in range(40)]
+    texts, at = [], {}
+    for i in range(900):
+        tail = [f"p{i % 60}_{k}" for k in range(20 if i % 2 else 10)] if i < 120 else []
+        start = i % 7
+        texts.append(" ".join([*(f"h{i}_{k}" for k in range(start)), *piece, *tail, *(f"t{i}_{k}" for k in range(40))]))
+        if tail:
+            at[i] = [start]
+    assert _covered(spark, texts, at) == set(at)
+    assert substring_dedup.repeated_passages(spark.createDataFrame(list(enumerate(texts[120:])), "doc_id long, text string")).count() == 0
+
+
 def test_compact_windows_cover_every_subsequence():
     rng = np.random.default_rng(3)
     tokens = rng.choice(2**62, 200, replace=False).astype(np.uint64)
