@@ -129,6 +129,26 @@ def test_passages_with_a_hot_piece(spark):
     assert substring_dedup.repeated_passages(spark.createDataFrame(list(enumerate(texts[120:])), "doc_id long, text string")).count() == 0
 
 
+def test_passages_that_recur_in_a_text(spark):
+    texts, at, twice = [], {}, [f"w{k}" for k in range(60)]
+    for i in range(80):
+        passage = [f"p{i // 2}_{k}" for k in range(60)]
+        texts.append(" ".join([*passage[:40], *(f"x{i}_{k}" for k in range(30 + i % 9)), *passage, *(f"z{i}_{k}" for k in range(20))]))
+        at[i] = [70 + i % 9]
+    texts += [" ".join([*twice, *(f"y{k}" for k in range(70)), *twice]), " ".join(twice), " ".join([*"abcdefghij"] * 9), " ".join(f"q{k % 60}" for k in range(120))]
+    at[80], at[81] = [0], [0]
+    assert _covered(spark, texts, at) == set(at)
+    docs = spark.createDataFrame(list(enumerate(texts[80:])), "doc_id long, text string")
+    got = sorted((r["doc_id"], r["start_word"], r["end_word"], r["n_docs"]) for r in substring_dedup.repeated_passages(docs).collect())
+    assert got == [(0, 0, 60, 2), (0, 130, 190, 2), (1, 0, 60, 2)]
+
+
+def test_windows_of_a_repetition_are_few():
+    tokens = np.concatenate([np.arange(100), np.tile(np.arange(200, 207), 3000), np.arange(300, 400)]).astype(np.uint64)
+    odd_, flip = substring_dedup._functions(4, 1)
+    assert len(substring_dedup.compact_windows(tokens, 46, odd_, flip)[0]) < 200
+
+
 def test_compact_windows_cover_every_subsequence():
     rng = np.random.default_rng(3)
     tokens = rng.choice(2**62, 200, replace=False).astype(np.uint64)
