@@ -12,6 +12,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from basketry.llm.common import attach_groups, keyed, staged
+
 #: Fixed rules: (verdict, host, path prefix). A rule fits its host and all subdomains; the longest that fits decides.
 RULES = (
     ("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("allow", "net", "/de/"),
@@ -31,19 +33,23 @@ WANTED = (
 _PARTS = re.compile(r"[a-z0-9]+|[^\W_]+")
 #: Segmented names a worker remembers.
 MEMO = 200_000
+#: A seed word counts as often as the rarest name would need to win against splitting it.
+SEED_COUNT = 100.0
 
 
 @dataclass
 class UrlModel:
-    """``words``: counts for the unigram model; ``odds``: log odds of each known word for block; ``prior``: of any url."""
+    """``words``: counts for the unigram model; ``odds``: log odds of each known word for block; ``prior``: of any url; ``total``: of
+    all counts, where ``words`` are a part of them."""
 
     words: dict[str, float]
     odds: dict[str, float]
     prior: float
+    total: float = 0.0
     memo: dict[str, list[str]] = field(default_factory=dict, repr=False)
 
     def __post_init__(self):
-        self.total = sum(self.words.values()) or 1.0
+        self.total = self.total or sum(self.words.values()) or 1.0
         self.longest = max(map(len, self.words), default=1)
 
     def cost(self, word: str) -> float:
@@ -57,13 +63,18 @@ class UrlModel:
         if found is None:
             if len(self.memo) > MEMO:
                 self.memo.clear()
-            best = [(0.0, 0)] + [(math.inf, 0)] * len(name)
+            best, unknown = [(0.0, 0)], (math.inf, 0)
+            free, letter = math.log(self.total), 2.302585
             open_ = self.cost(name), 0
             for end in range(1, len(name) + 1):
+                # an unknown string that ends here, of any length
+                unknown = min((unknown[0] + letter, unknown[1]), (best[end - 1][0] + free + letter, end - 1))
+                least = unknown
                 for start in range(max(0, end - self.longest), end):
-                    c = best[start][0] + self.cost(name[start:end])
-                    if c < best[end][0]:
-                        best[end] = (c, start)
+                    n = self.words.get(name[start:end])
+                    if n:
+                        least = min(least, (best[start][0] + math.log(self.total / n), start))
+                best.append(least)
             found, end = [], len(name)
             if open_[0] <= best[end][0]:
                 found = [name]
@@ -77,7 +88,7 @@ class UrlModel:
         return found
 
     def tokens(self, host: str, path: str) -> list[str]:
-        return [w for part in _PARTS.findall(f"{host} {path}".lower()) for w in (self.segment(part) if len(part) <= 64 else [part])]
+        return [w for part in _PARTS.findall(f"{host} {path}".lower()) for w in self.segment(part)]
 
     def block_odds(self, host: str, path: str) -> float:
         return self.prior + sum(self.odds.get(w, 0.0) for w in self.tokens(host, path))
@@ -99,45 +110,105 @@ def host_and_path(url: Column) -> tuple[Column, Column]:
     return F.translate(F.regexp_extract(given, form, 1), upper, upper.lower()), F.regexp_extract(given, form, 2)
 
 
-def train(pages: DataFrame, max_words: int = 50_000, prior: float = math.log(0.25)) -> UrlModel:
-    """Unigram counts of all host names in ``pages`` and the seed words; odds from the seed words.
+def _seeds() -> dict[str, float]:
+    return naive_bayes([UNWANTED], [WANTED])
+
 
-    Every row is counted; the model holds the ``max_words`` most frequent names of two or more rows, a bound of its
-    own size. A seed word counts as often as the rarest such name would need to win against splitting it.
+def name_counts(pages: DataFrame) -> DataFrame:
+    """(name, count): all names in hosts, of up to 64 letters as no valid one is longer, with 1 + log of their rows.
+
+    Seed words, and names made of several, are left out; these are left to the Viterbi.
     """
     host, _ = host_and_path(F.col("url"))
     names = pages.select(F.explode(F.split(host, "[^a-z0-9]+")).alias("name")).filter("length(name) between 3 and 64")
-    counted = names.groupBy("name").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").orderBy(F.desc("n"), "name").limit(max_words).collect()
-    odds = naive_bayes([UNWANTED], [WANTED])
-    # names made of several seed words are left to the Viterbi
-    seeds = {w: 100.0 for w in odds}
+    seeds = {w: SEED_COUNT for w in _seeds()}
     only = UrlModel(dict(seeds), {}, 0.0)
-    words = dict(seeds)
-    for row in counted:
-        if row["name"] not in seeds and not all(p in seeds for p in only.segment(row["name"])):
-            words[row["name"]] = 1.0 + math.log(row["n"])
+
+    @F.pandas_udf("boolean")
+    def own(names: pd.Series) -> pd.Series:
+        return pd.Series([n not in seeds and not all(p in seeds for p in only.segment(n)) for n in names], dtype=bool)
+
+    counted = names.groupBy("name").agg(F.count(F.lit(1)).alias("n"))
+    return counted.filter(own("name")).select("name", (1.0 + F.log("n")).alias("count"))
+
+
+def train(pages: DataFrame, prior: float = math.log(0.25)) -> UrlModel:
+    """Unigram counts of all host names in ``pages`` and the seed words; odds from the seed words. All in memory."""
+    odds = _seeds()
+    words = {w: SEED_COUNT for w in odds} | {r["name"]: r["count"] for r in name_counts(pages).collect()}
     return UrlModel(words, odds, prior)
 
 
-def filter_urls(pages: DataFrame, model: UrlModel | None = None, rules=RULES) -> DataFrame:
-    """(page_id, host, path, rule, verdict), one row per input row; nothing is shuffled but the counts for training.
+def _odds_by_join(pages: DataFrame, counts: DataFrame, prior: float = math.log(0.25)) -> DataFrame:
+    """(_rid, _odds) of rows of ``pages`` (_rid, _host, _path) with a part that has a seed word in it; the others have
+    ``prior``. Each different part is split with the counts of its own substrings, found by a join."""
+    odds = _seeds()
+    seeds = {w: SEED_COUNT for w in odds}
+    total = sum(seeds.values()) + (counts.agg(F.sum("count")).first()[0] or 0.0)
+    has_seed = re.compile("|".join(sorted(odds)))
+
+    @F.pandas_udf("array<string>")
+    def parts(hosts: pd.Series, paths: pd.Series) -> pd.Series:
+        return pd.Series([[x for x in _PARTS.findall(f"{h} {p}".lower()) if has_seed.search(x)] for h, p in zip(hosts, paths)])
+
+    @F.pandas_udf("array<string>")
+    def pieces(names: pd.Series) -> pd.Series:
+        return pd.Series([sorted({x[i:j] for i in range(len(x)) for j in range(i + 3, min(len(x), i + 64) + 1)}) for x in names])
+
+    @F.pandas_udf("double")
+    def score(names: pd.Series, known: pd.Series) -> pd.Series:
+        out = []
+        for name, found in zip(names, known):
+            own = UrlModel(seeds | {x["name"]: x["count"] for x in found}, odds, prior, total)
+            out.append(sum(odds.get(w, 0.0) for w in own.segment(name)))
+        return pd.Series(out, dtype=float)
+
+    placed = staged(pages.select("_rid", F.explode(parts("_host", "_path")).alias("part")), "url-parts")
+    sizes = staged(placed.groupBy("part").agg(F.count(F.lit(1)).alias("size")), "url-sizes")
+    found = sizes.select("part", F.explode(pieces("part")).alias("name")).join(counts, "name").groupBy("part").agg(F.collect_list(F.struct("name", "count")).alias("known"))
+    scored = sizes.join(found, "part", "left").withColumn("known", F.coalesce("known", F.expr("cast(array() as array<struct<name:string,count:double>>)")))
+    scored = staged(scored.select("part", "size", score("part", "known").alias("score")), "url-scores")
+    return attach_groups(placed, scored, "part", "size", placed.count()).groupBy("_rid").agg((F.lit(prior) + F.sum("score")).alias("_odds"))
+
+
+def filter_urls(pages: DataFrame, model: UrlModel | None = None, rules=RULES, max_words: int = 200_000) -> DataFrame:
+    """(page_id, host, path, rule, verdict), one row per input row.
+
+    Up to ``max_words`` different names, the model is broadcast and no url is shuffled; beyond, parts of urls are
+    joined with the names, with the same verdicts.
 
     A null url, or one without ``://``, has an empty host and path, fits no rule and is allowed, as no word speaks
     against it. Repeated rows get the same verdict; an empty table gives an empty result.
     """
-    model = train(pages) if model is None else model
-    shared = pages.sparkSession.sparkContext.broadcast(model)  # at most max_words names
-
-    @F.pandas_udf("string")
-    def verdict(hosts: pd.Series, paths: pd.Series) -> pd.Series:
-        own = shared.value
-        return pd.Series(["block" if own.block_odds(h, p) > 0 else "allow" for h, p in zip(hosts, paths)])
+    joined = None
+    if model is None:
+        counts = staged(name_counts(pages), "url-names")
+        if counts.count() > max_words:
+            host, path = host_and_path(F.col("url"))
+            pages = staged(keyed(pages.select("page_id", "url")), "urls")
+            joined = _odds_by_join(pages.select("_rid", host.alias("_host"), path.alias("_path")), counts)
+            pages = pages.join(joined, "_rid", "left")
+        else:
+            odds = _seeds()
+            model = UrlModel({w: SEED_COUNT for w in odds} | {r["name"]: r["count"] for r in counts.collect()}, odds, math.log(0.25))
+    if joined is None:
+        shared = pages.sparkSession.sparkContext.broadcast(model)
+
+        @F.pandas_udf("string")
+        def verdict(hosts: pd.Series, paths: pd.Series) -> pd.Series:
+            own = shared.value
+            return pd.Series(["block" if own.block_odds(h, p) > 0 else "allow" for h, p in zip(hosts, paths)])
+
+        pages = pages.select("page_id", "url")
+        said = verdict("host", "path")
+    else:
+        said = F.when(F.col("_odds") > 0, "block").otherwise("allow")
 
     host, path = host_and_path(F.col("url"))
-    df = pages.select("page_id", host.alias("host"), path.alias("path"))
+    df = pages.select("page_id", host.alias("host"), path.alias("path"), *(["_odds"] if joined is not None else []))
     rule, decided = F.lit(None).cast("string"), F.lit(None).cast("string")
     for say, at, prefix in sorted(rules, key=lambda r: len(r[1] + r[2])):  # the longest is asked first
         fits = ((F.col("host") == at) | F.col("host").endswith(f".{at}")) & F.col("path").startswith(prefix)
         rule, decided = F.when(fits, F.lit(at + prefix)).otherwise(rule), F.when(fits, F.lit(say)).otherwise(decided)
     df = df.withColumn("rule", rule).withColumn("_said", decided)
-    return df.select("page_id", "host", "path", "rule", F.coalesce("_said", verdict("host", "path")).alias("verdict"))
+    return df.select("page_id", "host", "path", "rule", F.coalesce("_said", said).alias("verdict"))

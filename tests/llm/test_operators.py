@@ -245,6 +245,14 @@ def test_urls(spark, none):
     assert model.segment("freebets") == ["free", "bets"]
 
 
+def test_urls_by_every_name(spark):
+    rows = [(1, "http://cashmere.org/"), (2, "http://free-bets.org/a"), (3, "http://x.io/" + "q" * 70 + "freecasino"), (4, "http://x.io/" + "casinopoker" * 8), (5, None), (6, "http://freebets.io/news")]
+    pages = spark.createDataFrame(rows, "page_id long, url string")
+    got = {r["page_id"]: r["verdict"] for r in url_filter.filter_urls(pages).collect()}
+    assert got[1] == "allow" and got[2] == got[4] == "block"
+    assert got == {r["page_id"]: r["verdict"] for r in url_filter.filter_urls(pages, max_words=0).collect()}
+
+
 def test_rules_edges(odd, none):
     got = rules.rule_verdicts(odd).collect()
     assert len(got) == len(ODD) and not any(r["kept"] for r in got)
