@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from basketry.llm.bloom import may_repeat, members, seen_twice
+from basketry.llm.bloom import may_repeat, members, seen_twice, slice_of, slices
 from basketry.llm.common import attach_groups, keyed, sheltered, staged
 
 
@@ -13,8 +15,9 @@ def exact_dedup(docs: DataFrame, max_filter_bytes: int = 64 << 20, text: str = "
     """(doc_id, keep_id, group_size, kept, text_sha256), one row per input row.
 
     Pass one hashes every text once and fills the filter; pass two tests each hash. Rows that the filter clears pass
-    straight through; the rest are grouped by their SHA-256, never by the text. At more than ``max_filter_bytes`` of
-    filter (about 33 million rows at 64 MB) no filter is sent and all digests, 40 bytes a row, are grouped.
+    straight through; the rest are grouped by their SHA-256, never by the text. The hash space is dealt to so many
+    slices that the filter of one takes ``max_filter_bytes`` at most (about 33 million rows at 64 MB); both passes run
+    for each slice, on the digests, which are written once and take 50 bytes a row.
 
     Null texts count as empty. Of equal texts the row with the largest doc_id stays, a null id being the smallest; of
     rows equal in both, one stays. An empty table gives an empty result; other columns of ``docs`` are not looked at.
@@ -24,8 +27,13 @@ def exact_dedup(docs: DataFrame, max_filter_bytes: int = 64 << 20, text: str = "
     digests = keyed(docs.select(F.col(doc_id).alias("doc_id"), F.unhex(F.sha2(content, 256)).alias("sha")))
     digests = staged(digests.withColumn("key", F.xxhash64("sha")), "digests")
     n = digests.count()
-    bits = seen_twice(digests, "key", n, max_filter_bytes)
-    marked = staged(digests.withColumn("maybe", may_repeat(bits, F.col("key"), spark)).drop("key"), "marked")
+    parts = slices(n, max_filter_bytes)
+    marked = []
+    for k in range(parts):
+        part = digests.filter(slice_of(F.col("key"), parts) == k) if parts > 1 else digests
+        bits = seen_twice(part, "key", part.count())
+        marked.append(staged(part.withColumn("maybe", may_repeat(bits, F.col("key"), spark)).drop("key"), "marked"))
+    marked = reduce(DataFrame.unionByName, marked)
     suspects = marked.filter("maybe").drop("maybe")
     groups = suspects.groupBy("sha").agg(F.max(F.struct("doc_id", "_rid")).alias("top"), F.count(F.lit(1)).alias("group_size"))
     groups = staged(groups.filter("group_size > 1"), "groups")
