@@ -57,4 +57,4 @@ LLM = {
     "op9_jaccard_join": op9_jaccard_join, "op10_warc": op10_warc,
 }
 
-LLM_SQL = {"op6_quality_rules": rules.SQL, "op7_exact_dedup": exact_dedup.SQL, "op10_warc": warc.SQL}
+LLM_SQL = {"op6_quality_rules": rules.SQL, "op7_exact_dedup": exact_dedup.SQL, "op9_jaccard_join": near_dedup.SQL, "op10_warc": warc.SQL}

@@ -1,12 +1,13 @@
 """Each operator against SQL, a library or brute force, and on nulls, empty texts, repeats and empty tables."""
 
-import hashlib
 from collections import Counter
+from itertools import combinations
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from basketry.llm import bpe, exact_dedup, mixing, near_dedup, quality, rules, substring_dedup, toxicity, url_filter, warc
+from basketry.llm import bloom, bpe, exact_dedup, mixing, near_dedup, quality, rules, substring_dedup, toxicity, url_filter, warc
 from basketry.llm.queries import LLM, LLM_SQL, TOKENIZER
 from tests.compare import connect, same
 
@@ -63,16 +64,63 @@ def _sets(texts):
     return out
 
 
-def test_near_duplicates_by_brute_force(spark):
-    docs = spark.read.parquet(f"{SF}/documents.parquet")
+def _components(sets, linked):
+    root = {i: i for i in sets}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for a, b in linked:
+        x, y = sorted((find(a), find(b)))
+        root[y] = x
+    return {i: find(i) for i in sets}
+
+
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.01"])
+def test_near_duplicates_by_brute_force(spark, sf):
+    docs = spark.read.parquet(f"/root/testdata/{sf}/documents.parquet")
     sets = _sets({r["doc_id"]: r["text"] for r in docs.collect()})
-    links = Counter()
-    for a in sets:
-        for b in sets:
-            if a != b and sets[a] and 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]):
-                links[a] += 1
+    linked = [(a, b) for a, b in combinations(sets, 2) if sets[a] and 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])]
+    links, root = Counter(i for pair in linked for i in pair), _components(sets, linked)
     got = near_dedup.near_duplicates(docs).collect()
-    assert {r["doc_id"]: r["n_links"] for r in got} == {i: links[i] for i in sets}
+    assert {r["doc_id"]: (r["class_id"], r["n_links"]) for r in got} == {i: (root[i], links[i]) for i in sets}
+
+
+def test_near_duplicates_over_many_blocks(spark, monkeypatch):
+    """Links between blocks are found, whatever their size and however the levels end: chains, a large group, lone texts."""
+    rng = np.random.default_rng(2)
+    base, texts = [f"w{i}" for i in range(200)], {}
+    for i in range(150):  # a group of texts near to each other
+        own = list(base)
+        for k in rng.choice(200, 3, replace=False):
+            own[k] = f"x{i}_{k}"
+        texts[len(texts)] = " ".join(own)
+    for c in range(6):  # chains, of which only neighbours are similar
+        own = [f"c{c}_{k}" for k in range(120)]
+        for i in range(20):
+            own[5 * i : 5 * i + 5] = [f"y{c}_{i}_{k}" for k in range(5)]
+            texts[len(texts)] = " ".join(own)
+    sets = _sets(texts)
+    linked = [(a, b) for a, b in combinations(sets, 2) if 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])]
+    links, root = Counter(i for pair in linked for i in pair), _components(sets, linked)
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    for block in (8, 128):
+        monkeypatch.setattr(near_dedup, "BLOCK", block)
+        got = near_dedup.near_duplicates(docs).collect()
+        assert {r["doc_id"]: (r["class_id"], r["n_links"]) for r in got} == {i: (root[i], links[i]) for i in sets}
+
+
+def test_forest_labels_meet_as_similarity_says():
+    """Two texts of similarity s share a prefix of d minima in a tree with probability s ** d."""
+    rng = np.random.default_rng(4)
+    a = rng.choice(2**62, 900, replace=False).astype(np.uint64)
+    pairs = [(a[k : k + 90], a[k + 10 : k + 100]) for k in range(0, 800, 4)]  # 80 of 100
+    left, right = (np.array([np.frombuffer(x, ">u2").reshape(32, 10) for x in near_dedup.forest_labels([np.sort(p[k]) for p in pairs], 32, 10)]) for k in (0, 1))
+    for d in (1, 3, 6, 10):
+        assert abs((left[:, :, :d] == right[:, :, :d]).all(axis=2).mean() - 0.8**d) < 0.04
+    assert near_dedup.least_depth(0.8, 32, 10, 0.9999) == 6
 
 
 def test_near_duplicates_edges(odd, none):
@@ -171,11 +219,26 @@ def test_passages_edges(odd, none):
 def test_exact_dedup_edges(odd, none):
     got = exact_dedup.exact_dedup(odd).collect()
     assert len(got) == len(ODD) and sum(r["kept"] for r in got) == 3
-    assert exact_dedup.exact_dedup(odd, max_filter_bytes=0).count() == len(ODD)
+    assert exact_dedup.exact_dedup(odd, max_filter_bytes=1).count() == len(ODD)
     assert exact_dedup.exact_dedup(none).count() == 0
     assert exact_dedup.distinct_documents(odd).count() == 3
 
 
+def test_exact_dedup_in_slices(spark):
+    """A filter of one segment at a time, and filters of members that are fuller than planned, change no result."""
+    docs = spark.range(150_000).selectExpr("id AS doc_id", "concat('t', if(id % 5 = 0, id div 50, id)) AS text")
+    assert bloom.slices(150_000, 1) == 3
+    want = docs.groupBy("text").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
+    for bound in (1, 64 << 20):
+        got = exact_dedup.exact_dedup(docs, max_filter_bytes=bound)
+        assert got.count() == 150_000 and got.filter("kept").count() == want.count()
+        assert got.select("doc_id", "keep_id", "group_size").exceptAll(docs.join(want, "text").select("doc_id", "keep_id", "group_size")).isEmpty()
+    keys = docs.select(F.xxhash64("doc_id").alias("k"))
+    bits = bloom.members(keys.filter("k % 2 = 0"), "k", max_bytes=1 << 17)
+    passed = keys.withColumn("p", bloom.may_repeat(bits, F.col("k"), spark))
+    assert len(bits) == 1 and passed.filter("k % 2 = 0 and not p").isEmpty() and passed.filter("k % 2 <> 0 and not p").count() > 60_000
+
+
 def test_mix(spark, odd, none):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     rows = mixing.mix(docs).toPandas()
@@ -274,6 +337,3 @@ def test_warc_round_trip(spark):
     assert sum(r.endswith(b"\r\n\r\nx\r\n\r\n") for r in records) == 1 and all(r.startswith(b"WARC/1.1\r\n") for r in records)
     assert warc.read_archive(warc.write_archive(pages.limit(0))).count() == 0
 
-
-def test_digests():
-    assert hashlib.sha256(b"").hexdigest() == "e3b0c44298fc1c149afbf4c8996fb92427ae41e4649b934ca495991b7852b855"
