@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -13,8 +14,9 @@ from basketry.llm.bloom import may_repeat, members
 from basketry.llm.common import attach_groups, keyed, release, sheltered, staged, words
 from basketry.llm.components import components
 
-#: Texts of a block; two blocks are compared in one task.
+#: Texts of a block, and their shingles, at most; a longer text is a block by itself. Two blocks are compared in one task.
 BLOCK = 128
+WEIGHT = 1 << 17
 #: Shingles hashed at a time: arrays that stay in the processor's cache.
 CHUNK = 1 << 16
 #: Bytes of a label for each minimum hash.
@@ -126,8 +128,7 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, size: int = 5, tree
     copies included, and ``n_text_links`` the different texts similar to it.
 
     Equal texts are one member. Each tree of the forest labels a text with ``depth`` minimum hashes; texts whose labels
-    begin alike are below one node of its trie. Texts are put in the sorted order of a trie and cut into blocks of
-    BLOCK. From the longest prefixes on, all blocks that some node joins are verified on whole sets, two by two and each
+    begin alike are below one node of its trie. Texts are put in the sorted order of a trie and cut into blocks. From the longest prefixes on, all blocks that some node joins are verified on whole sets, two by two and each
     two once; then prefixes are shortened by one. That ends when the links found tell that ``recall`` is reached: a link
     of similarity s is found at depth d with a probability known from s, d and ``trees``, so each one found stands for
     some that were missed. It never goes on beyond :func:`least_depth`, where each pair at the threshold has that
@@ -140,29 +141,37 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, size: int = 5, tree
 
 
 def _labelled(docs: DataFrame, size: int, trees: int, depth: int) -> DataFrame:
-    """(rid, doc_id, md5, labels) of ``docs`` (doc_id, text); no labels for a text without words."""
+    """(rid, doc_id, md5, n_words, labels) of ``docs`` (doc_id, text); no labels for a text without words."""
     hashed = keyed(docs).select(F.col("_rid").alias("rid"), "doc_id", F.unhex(F.md5(F.col("text").cast("binary"))).alias("md5"), word_hashes(F.col("text")).alias("w"))
 
     def sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             sets = [shingles(w, size) for w in pdf["w"]]
             made = iter(forest_labels([s for s in sets if len(s)], trees, depth))
-            yield pdf[["rid", "doc_id", "md5"]].assign(labels=[next(made) if len(s) else None for s in sets])
+            yield pdf[["rid", "doc_id", "md5"]].assign(n_words=[len(w) for w in pdf["w"]], labels=[next(made) if len(s) else None for s in sets])
 
-    return hashed.mapInPandas(sign, "rid long, doc_id long, md5 binary, labels binary")
+    return hashed.mapInPandas(sign, "rid long, doc_id long, md5 binary, n_words long, labels binary")
 
 
 def _blocks(met: DataFrame, groups: DataFrame) -> DataFrame:
-    """(rid, block): BLOCK neighbours each, in order of component, tree and label."""
+    """(rid, block) of ``groups`` (rid, root, n_words): neighbours in order of component, tree and label."""
     order = ["root", "tree", "label", "rid"]
     first = met.groupBy("rid").agg(F.min(F.struct("tree", "label")).alias("at"))
-    placed = groups.withColumnRenamed("id", "rid").join(first, "rid").select("rid", "root", "at.tree", "at.label")
-    placed = placed.repartitionByRange(*order).sortWithinPartitions(*order).select("rid", F.spark_partition_id().alias("part"), F.monotonically_increasing_id().alias("no"))
-    placed = staged(placed.withColumn("no", F.col("no").bitwiseAND((1 << 33) - 1)), "order")
+    placed = groups.join(first, "rid").select("rid", "n_words", "root", "at.tree", "at.label").repartitionByRange(*order).sortWithinPartitions(*order)
+
+    def weigh(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        before = 0.0
+        for pdf in batches:
+            weight = np.maximum(1 / BLOCK, pdf["n_words"].to_numpy() / WEIGHT)
+            ends = before + np.cumsum(weight)
+            yield pd.DataFrame({"rid": pdf["rid"], "part": TaskContext.get().partitionId(), "at": ends - weight, "until": ends})
+            before = float(ends[-1]) if len(ends) else before
+
+    placed = staged(placed.select("rid", "n_words").mapInPandas(weigh, "rid long, part int, at double, until double"), "order")
     # a row a partition
-    sizes = placed.groupBy("part").agg(F.count(F.lit(1)).alias("n"))
+    sizes = placed.groupBy("part").agg(F.max("until").alias("n"))
     starts = sizes.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("start"))
-    return placed.join(F.broadcast(starts), "part").select("rid", F.floor((F.col("start") + F.col("no")) / BLOCK).alias("block"))
+    return placed.join(F.broadcast(starts), "part").select("rid", F.floor(F.col("start") + F.col("at")).alias("block"))
 
 
 def _verify(threshold: float, trees: int, depths: range):
@@ -233,7 +242,7 @@ def _classes(docs: DataFrame, threshold: float = 0.8, size: int = 5, trees: int
     rows = staged(_labelled(docs, size, trees, depth), "signatures")
     n = rows.count()
     some = rows.filter("labels is not null")
-    texts = staged(some.groupBy("md5").agg(F.min("rid").alias("rid"), F.count(F.lit(1)).alias("copies"), F.min("doc_id").alias("first_id")), "texts")
+    texts = staged(some.groupBy("md5").agg(F.min("rid").alias("rid"), F.count(F.lit(1)).alias("copies"), F.min("doc_id").alias("first_id"), F.max("n_words").alias("n_words")), "texts")
 
     # labels of the rows that stand for their text; those of a text without copies never shuffle for this
     bits = members(texts.filter("copies > 1").select(F.xxhash64("md5").alias("key")), "key")
@@ -247,8 +256,8 @@ def _classes(docs: DataFrame, threshold: float = 0.8, size: int = 5, trees: int
     bits = members(shared.select("key"), "key")
     met = attach_groups(leaves.filter(may_repeat(bits, F.col("key"), spark)), shared, "key", "size", n).filter("size is not null")
     met = staged(met.select("rid", "first", "tree", "label"), "met")
-    groups = staged(components(met.select(F.col("rid").alias("u"), F.col("first").alias("v"))), "components")
-    blocks = staged(_blocks(met, groups), "blocks")
+    groups = components(met.select(F.col("rid").alias("u"), F.col("first").alias("v"))).withColumnRenamed("id", "rid")
+    blocks = staged(_blocks(met, texts.select("rid", "n_words").join(groups, "rid")), "blocks")
     met = staged(met.drop("first").join(blocks, "rid"), "leaves")
     candidates = staged(texts.select("md5", "rid", "copies").join(blocks, "rid"), "candidates")
     release()

@@ -106,8 +106,9 @@ def test_near_duplicates_over_many_blocks(spark, monkeypatch):
     linked = [(a, b) for a, b in combinations(sets, 2) if 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])]
     links, root = Counter(i for pair in linked for i in pair), _components(sets, linked)
     docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
-    for block in (8, 128):
+    for block, weight in ((8, 1 << 17), (128, 500), (128, 1 << 17)):
         monkeypatch.setattr(near_dedup, "BLOCK", block)
+        monkeypatch.setattr(near_dedup, "WEIGHT", weight)
         got = near_dedup.near_duplicates(docs).collect()
         assert {r["doc_id"]: (r["class_id"], r["n_links"]) for r in got} == {i: (root[i], links[i]) for i in sets}
 
