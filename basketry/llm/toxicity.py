@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import re
+import string
 import unicodedata
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -16,12 +18,22 @@ from pyspark.sql import functions as F
 from basketry.llm.common import held_out, labelled_sample, staged
 
 # Letters of other scripts that look like Latin ones, and signs that stand for letters within a word.
-LOOKALIKES = str.maketrans("авеёіјкмнорсԁѕтухԛԝһαβεηικνορτυχω", "abeeijkmhopcdstyxqwhabenikvoptuxw")
-SIGNS = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "@": "a", "$": "s", "!": "i"}
-_SIGN = re.compile(r"[0134578@$!](?=[0134578@$!]{0,3}[a-z])")
+LOOKALIKES = {
+    **str.maketrans("абвгезийкмнопрстухчьѕіјһԁԛԝөү", "abbresuukmhonpctyxybsijhdqwoy"),
+    **str.maketrans("αβγεηικνοπρστυχω", "abyenikvonpotuxw"),
+    **str.maketrans("աոսօցզհյ", "anuogqhj"),
+}
+SIGNS = str.maketrans("01345678@$!|", "oieasgtbasii")
+#: The same, where what looks like an i is read as l.
+SIGNS_AS_L = str.maketrans("01345678@$!|", "oleasgtbasll")
+_SIGN = re.compile(r"[01345678@$!|](?=[01345678@$!|]{0,3}[^\W\d_])")
 _WORD = re.compile(r"[^\W\d_]+")
-#: Prefixes of words that may become lexicon entries have so many letters.
-STEMS = range(4, 9)
+_SPACED = re.compile(r"(?<![^\W_])(?:[^\W\d_][ .\-_*]){3,}[^\W\d_](?![^\W_])")
+_EDGES = "".join(sorted(set(string.punctuation) - set("$@|"))) + "…«»“”‘’–—¡¿"
+#: Beginnings of words that may become lexicon entries have so many letters.
+STEMS = range(3, 9)
+#: Occurrences of a term that count within one document.
+REPEATS = 3
 #: Common English insults and swear words, and their plurals: entries from the start, however few documents are labelled.
 SEEDS = tuple(
     f" {w}{end} "
@@ -35,17 +47,60 @@ SEEDS = tuple(
     f" {w} "
     for w in "stupid dumb pathetic worthless disgusting despicable contemptible repulsive brainless idiotic moronic retarded subhuman shit fuck fucking fucked crap filthy filth hate loathe".split()
 )
-#: A seed weighs as if so many more toxic documents, and no clean ones, had it.
+#: A seed weighs as if it were found so many more times in toxic documents.
 SEED_COUNT = 2
 
 
+def _strokes() -> dict[int, str]:
+    """Latin letters that no decomposition makes plain, by their names: dotless, stroked, small capital."""
+    form, out = re.compile(r"LATIN (?:SMALL LETTER|LETTER SMALL CAPITAL) (?:DOTLESS )?([A-Z])(?: WITH .*)?$"), {}
+    for code in (*range(0x80, 0x300), *range(0x1D00, 0x1E00), *range(0xA720, 0xAB70)):
+        if (m := form.match(unicodedata.name(chr(code), ""))) and not unicodedata.normalize("NFKD", chr(code))[0].isascii():
+            out[code] = m[1].lower()
+    return out
+
+
+PLAIN = LOOKALIKES | _strokes()
+
+
+def _plain(word: str) -> str:
+    """The word as it looks, in Latin letters without marks."""
+    return "".join(c for c in unicodedata.normalize("NFKD", word.translate(PLAIN)) if not unicodedata.combining(c))
+
+
+def _own(word: str) -> str:
+    """A word of Latin letters into which look-alikes are mixed, in Latin letters; any other as it is."""
+    return _plain(word) if not word.isascii() and any(c.isascii() for c in word) and any(ord(c) in LOOKALIKES for c in word) else word
+
+
+def _signed(t: str) -> str:
+    return _SIGN.sub(lambda m: m[0].translate(SIGNS), t)
+
+
 def fold(text: str | None) -> str:
-    """Words of the text in plain lower-case letters, with a blank before, between and after them."""
+    """The words of the text in lower case, with a blank before, between and after them; then further readings of odd
+    words, one a line: without marks, with all signs read as letters (as i or as l), or with spaced letters joined."""
     t = (text or "").casefold()
     if not t.isascii():
-        t = "".join(c for c in unicodedata.normalize("NFKD", t.translate(LOOKALIKES)) if not unicodedata.combining(c))
-    t = _SIGN.sub(lambda m: SIGNS[m[0]], t)
-    return f" {' '.join(_WORD.findall(t))} "
+        t = unicodedata.normalize("NFKC", t).casefold().replace("ӏ", "1")  # a bar that is read both ways
+    words = [w if w.isascii() else _own(w) for w in _WORD.findall(_signed(t))]
+    more = [p for w in words if not w.isascii() and (p := _plain(w)) != w]
+    for token in t.split():
+        if token.isalpha() or (core := token.strip(_EDGES)).isalpha() or not _WORD.search(core):
+            continue
+        known = {_own(w) for w in _WORD.findall(_signed(token))}
+        for table in (SIGNS, SIGNS_AS_L):
+            for w in map(_plain, _WORD.findall(core.translate(table))):
+                if w not in known:
+                    known.add(w)
+                    more.append(w)
+    more += [_plain("".join(_WORD.findall(x))) for x in _SPACED.findall(t)]
+    return f" {' '.join(words)} " + "".join(f"\n {w} " for w in more)
+
+
+def _lines(folded: str) -> str:
+    """The text's own words, without the further readings."""
+    return folded.partition("\n")[0]
 
 
 @dataclass
@@ -93,18 +148,36 @@ class Lexicon:
 
 
 def _measure(lexicon: Lexicon, automaton, folded: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    return np.array([lexicon.hits(automaton, t) for t in folded], float), np.array([t.count(" ") - 1 for t in folded], float)
-
-
-def _terms(folded: str) -> set[str]:
-    words = set(folded.split())
-    out = {f" {w} " for w in words if 3 <= len(w) <= 24}
-    out.update(f" {w[:k]}" for w in words for k in STEMS if k < len(w))
+    return np.array([lexicon.hits(automaton, t) for t in folded], float), np.array([_lines(t).count(" ") - 1 for t in folded], float)
+
+
+def _terms(folded: str) -> list[tuple[str, int]]:
+    """(term, count) of the words, and of beginnings of words, that may become entries."""
+    out: Counter[str] = Counter()
+    for w, n in Counter(_lines(folded).split()).items():
+        n = min(n, REPEATS)
+        out[f" {w} "] += n
+        for k in STEMS:
+            if k < len(w):
+                out[f" {w[:k]}"] += n
+    return [*out.items()]
+
+
+def _phrases(lexicon: Lexicon, automaton, folded: str) -> set[str]:
+    """Words that start with an entry, and the two and three words that such a word is the middle or an end of."""
+    line, out = _lines(folded), set()
+    for end, (n, _) in automaton.iter(line) if len(automaton) else ():
+        start = end - n + 1
+        stop = line.index(" ", start + 1)
+        before, after = line.rfind(" ", 0, start) if start else start, line.find(" ", stop + 1)
+        after = stop if after < 0 else after
+        out.update({line[start : stop + 1], line[before : stop + 1], line[start : after + 1], line[before : after + 1]})
     return out
 
 
-def _logit(a, b, n, m):
-    return np.log((a + 0.5) / (n + 1)) - np.log((b + 0.5) / (m + 1))
+def _rate(a: float, b: float, n: float, m: float) -> float:
+    """Log of how much more often than among ``m`` clean words something is found among ``n`` toxic ones."""
+    return float(np.log((a + 0.5) / (n + 1)) - np.log((b + 0.5) / (m + 1)))
 
 
 def _nested(a: str, b: str) -> bool:
@@ -112,41 +185,6 @@ def _nested(a: str, b: str) -> bool:
     return a == b or (a[-1] != " " and b.startswith(a)) or (b[-1] != " " and a.startswith(b))
 
 
-def _choose(seen: list[np.ndarray], y: np.ndarray, names: list[str], cost: float, least: int, least_again: int, size: int, cover: int = 3) -> list[int]:
-    """Greedy cover: the term that adds most toxic documents for its clean ones, the longer of equals.
-
-    Goes on until no term adds ``least`` documents; then until each document has ``cover`` terms or none adds
-    ``least_again``, so that a document with but one of the usual words is found as well.
-    """
-    docs_of: list[list[int]] = [[] for _ in names]
-    for d, terms in enumerate(seen):
-        for t in terms:
-            docs_of[t].append(d)
-    sets = [(np.array(d, int), y[np.array(d, int)] == 1) for d in docs_of]
-    times = np.zeros(len(y), int)
-    chosen: list[int] = []
-    for depth, floor in ((1, least), (cover, max(least, least_again))):
-        open_ = {t for t in range(len(names)) if not any(_nested(names[t], names[c]) for c in chosen)}
-        while open_ and len(chosen) < size:
-            worth = {}
-            for t in list(open_):
-                d, toxic = sets[t]
-                new = int(((times[d] < depth) & toxic).sum())
-                if new < floor:
-                    open_.discard(t)
-                else:
-                    worth[t] = new - cost * int((~toxic).sum())
-            if not worth:
-                break
-            best = max(worth, key=lambda t: (worth[t], len(names[t]), names[t]))
-            if worth[best] < floor:
-                break
-            chosen.append(best)
-            open_ = {t for t in open_ if not _nested(names[t], names[best])}
-            times[sets[best][0]] += 1
-    return chosen
-
-
 def _calibrate(total: np.ndarray, n_words: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, float, float]:
     """Logistic regression on the two measures by Newton steps with a small ridge."""
     x = np.column_stack([np.ones(len(y)), np.log1p(total), np.log1p(100 * total / np.maximum(n_words, 20))])
@@ -160,13 +198,14 @@ def _calibrate(total: np.ndarray, n_words: np.ndarray, y: np.ndarray, weight: np
     return tuple(map(float, b))
 
 
-def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_class: int = 6000, candidates: int = 3000, size: int = 256, clean_cost: float = 20.0) -> Lexicon:
+def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_class: int = 6000, least_gain: float = 12.0, least_rate: float = 1.5, size: int = 256, phrases: int = 1000) -> Lexicon:
     """Learn the lexicon from at most ``per_class`` labelled documents of each class, none of them held out.
 
-    Words and stems are counted by class over the sample; the ``candidates`` that best tell toxic documents apart go to
-    the driver, where a greedy cover picks at most ``size`` entries. SEEDS join them with weights of their own counts
-    and SEED_COUNT, unless the sample has them in clean documents too often. Words that start with a chosen stem but
-    are found in clean documents for the most part become exceptions.
+    Words and beginnings of words are counted by class over the sample, REPEATS times a document at most. Those more
+    frequent in toxic documents by a factor of exp(``least_rate``) and with a log likelihood ratio of ``least_gain``
+    are entries, the most telling first, at most ``size``; none that another one covers. Common insults (SEEDS) join
+    them, unless the sample speaks against it. Words that start with an entry, and phrases of two or three words with
+    one, that are found in clean documents for the most part are exceptions, the ``phrases`` most frequent of them.
     """
     spark = docs.sparkSession
     sample, sizes = labelled_sample(docs, labels, label, per_class)
@@ -175,46 +214,47 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_class: i
         for pdf in batches:
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "y": pdf["y"], "t": [fold(x) for x in pdf["text"]]})
 
-    sample = sample.select("doc_id", "y", "text").mapInPandas(folded, "doc_id long, y int, t string")
-    # a text that many documents share would make all its words look telling, so each text counts once
-    sample = staged(sample.groupBy("t").agg(F.min("doc_id").alias("doc_id"), F.max("y").alias("y")), "sample")
-    n = {r["y"]: r["n"] for r in sample.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
-    if not n.get(1):
+    # one text an id, so that the sample stays as small as its ids are few; and each text once, as words of a text that
+    # many documents share would look telling
+    sample = sample.groupBy("doc_id", "y").agg(F.min("text").alias("text")).mapInPandas(folded, "doc_id long, y int, t string")
+    sample = staged(sample.groupBy("t").agg(F.min("doc_id").alias("doc_id"), F.max("y").alias("y")).withColumn("n_words", F.size(F.split(F.substring_index("t", "\n", 1), " ")) - 2), "sample")
+    n = {r["y"]: (r["n"], r["w"]) for r in sample.groupBy("y").agg(F.count(F.lit(1)).alias("n"), F.sum("n_words").alias("w")).collect()}
+    if 1 not in n:
         return Lexicon()
-    n_toxic, n_clean = n[1], n.get(0, 0)
+    (n_toxic, toxic_words), (n_clean, clean_words) = n[1], n.get(0, (0, 0))
 
-    @F.pandas_udf("array<string>")
+    @F.pandas_udf("array<struct<term:string,n:int>>")
     def terms(texts: pd.Series) -> pd.Series:
-        return pd.Series([list(_terms(t)) for t in texts])
-
-    counts = sample.select("y", F.explode(terms("t")).alias("term")).groupBy("term").agg(F.sum("y").alias("a"), F.sum(1 - F.col("y")).alias("b"))
-    counts = staged(counts.filter((F.col("a") + F.col("b") > 1) | F.col("term").isin(*SEEDS)), "terms")
-    least = 3 if n_toxic >= 20 else 2
-    odds = F.log((F.col("a") + 0.5) / (n_toxic + 1)) - F.log((F.col("b") + 0.5) / (n_clean + 1))
-    top = counts.filter(F.col("a") >= least).withColumn("odds", odds).filter("odds > 1").orderBy((F.col("a") * F.col("odds")).desc(), "term").limit(candidates).collect()
-    seeded = {t: (0, 0) for t in SEEDS} | {r["term"]: (r["a"], r["b"]) for r in counts.filter(F.col("term").isin(*SEEDS)).collect()}
-    seeded = {t: float(_logit(a + SEED_COUNT, b, n_toxic, n_clean)) for t, (a, b) in seeded.items()}
-    names = [r["term"] for r in top]
-    shared = spark.sparkContext.broadcast({t: i for i, t in enumerate(names)})
-
-    @F.pandas_udf("array<int>")
-    def known(texts: pd.Series) -> pd.Series:
-        return pd.Series([sorted(shared.value[t] for t in _terms(x) if t in shared.value) for x in texts])
-
-    rows = sample.select("doc_id", "y", known("t").alias("k")).orderBy("doc_id").collect()
-    y = np.array([r["y"] for r in rows])
-    chosen = _choose([np.array(r["k"], int) for r in rows], y, names, clean_cost * n_toxic / max(1, n_clean), least, max(4, n_toxic // 50), size)
-    entries = {names[t]: float(np.clip(_logit(top[t]["a"], top[t]["b"], n_toxic, n_clean), 0.1, 10)) for t in chosen}
-    entries |= {t: min(w, 10.0) for t, w in seeded.items() if w > 1 and not any(_nested(t, e) for e in entries)}
-    stems = [t for t in entries if not t.endswith(" ")]
-    exceptions: list[str] = []
-    if stems:
-        starts = F.lit(False)
-        for s in stems:
-            starts = starts | F.col("term").startswith(s)
-        clean = counts.filter(F.col("term").endswith(" ") & starts & (F.col("b") >= 2) & (F.col("b") / max(1, n_clean) > 3 * F.col("a") / n_toxic))
-        exceptions = [r["term"] for r in clean.orderBy(F.desc("b"), "term").limit(1000).collect()]
-    lexicon = Lexicon(entries, exceptions)
+        return pd.Series([[{"term": t, "n": c} for t, c in _terms(x)] for x in texts])
+
+    counts = sample.select("y", F.explode(terms("t")).alias("x")).groupBy("x.term").agg(F.sum(F.col("y") * F.col("x.n")).alias("a"), F.sum((1 - F.col("y")) * F.col("x.n")).alias("b"), F.sum("y").alias("docs"))
+    a, b = F.col("a"), F.col("b")
+    fair = (a + b) * F.lit(toxic_words / max(1, toxic_words + clean_words))
+    gain = a * F.log(a / fair) + F.when(b > 0, b * F.log(b / (a + b - fair))).otherwise(0.0)
+    rate = F.log((a + 0.5) / F.lit(toxic_words + 1)) - F.log((b + 0.5) / F.lit(clean_words + 1))
+    counts = staged(counts.filter((F.col("docs") >= (3 if n_toxic >= 20 else 2)) | F.col("term").isin(*SEEDS)).withColumn("gain", gain).withColumn("rate", rate), "terms")
+    top = counts.filter((F.col("gain") >= least_gain) & (F.col("rate") >= least_rate)).orderBy(F.round("gain", 6).desc(), F.length("term").desc(), "term").limit(20 * size).collect()
+    entries: dict[str, float] = {}
+    for r in top:
+        if len(entries) < size and not any(_nested(r["term"], e) for e in entries):
+            entries[r["term"]] = min(float(r["rate"]), 10.0)
+    seen = {r["term"]: (r["a"], r["b"]) for r in counts.filter(F.col("term").isin(*SEEDS)).collect()}
+    for t in SEEDS:
+        a, b = seen.get(t, (0, 0))
+        weight = _rate(a + SEED_COUNT, b, toxic_words, clean_words)
+        if weight >= least_rate and not any(_nested(t, e) for e in entries):
+            entries[t] = min(weight, 10.0)
+
+    known = spark.sparkContext.broadcast(Lexicon(entries))
+
+    @F.pandas_udf("array<string>")
+    def around(texts: pd.Series) -> pd.Series:
+        automaton = known.value.automaton()
+        return pd.Series([sorted(_phrases(known.value, automaton, t)) for t in texts])
+
+    clean = sample.select("y", F.explode(around("t")).alias("p")).groupBy("p").agg(F.sum("y").alias("a"), F.sum(1 - F.col("y")).alias("b"))
+    clean = clean.filter((F.col("b") >= 2) & (F.col("b") / max(1, n_clean) > 3 * F.col("a") / n_toxic))
+    lexicon = Lexicon(entries, [r["p"] for r in clean.orderBy(F.desc("b"), "p").limit(phrases).collect()])
     plain = spark.sparkContext.broadcast(lexicon)
 
     def measured(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -223,7 +263,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_class: i
             total, words = _measure(plain.value, automaton, list(pdf["t"]))
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "y": pdf["y"], "total": total, "words": words})
 
-    found = sample.mapInPandas(measured, "doc_id long, y int, total double, words double").orderBy("doc_id").collect()
+    found = sample.mapInPandas(measured, "doc_id long, y int, total double, words double").orderBy("doc_id").collect()  # 2 * per_class rows
     y = np.array([r["y"] for r in found], float)
     weight = np.where(y == 1, sizes[1] / n_toxic, sizes.get(0, 0) / max(1, n_clean))
     lexicon.scale = _calibrate(np.array([r["total"] for r in found]), np.array([r["words"] for r in found]), y, weight)
