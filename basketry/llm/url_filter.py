@@ -3,10 +3,8 @@
 from __future__ import annotations
 
 import math
-import re
-from collections import Counter
-from collections.abc import Iterable
-from dataclasses import dataclass, field
+from collections.abc import Iterator
+from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -19,7 +17,7 @@ RULES = (
     ("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("allow", "net", "/de/"),
     ("block", "example.net", "/de/8"), ("block", "org", "/es/"),
 )
-#: Words of unwanted and of wanted sites, from which the classifier is trained.
+#: Words of unwanted and of wanted sites: what the classifier knows before it learns from decided urls.
 UNWANTED = (
     "casino poker slots jackpot lottery betting bets gambling roulette pills viagra pharmacy cheap replica porn xxx adult escort hookup nude cams webcam "
     "spam scam phishing malware virus crack warez torrent keygen hacked payday loans forex cash prize winner win free click clicks ads advert track tracker "
@@ -30,76 +28,51 @@ WANTED = (
     "film book books history arts forum support help mail maps photo code open data project community church family office business tools learn education "
     "world local today times post daily home about contact article story review guide"
 ).split()
-_PARTS = re.compile(r"[a-z0-9]+|[^\W_]+")
-#: Segmented names a worker remembers.
-MEMO = 200_000
-#: A seed word counts as often as the rarest name would need to win against splitting it.
+#: A seed word counts in the unigram model as a word that is found so often.
 SEED_COUNT = 100.0
+#: Letters of the longest word looked up; a longer run of letters is split into such words or stays unknown.
+LONGEST = 32
+#: Pieces that a task gathers before it hands them on.
+FLUSH = 50_000
+#: Cost of each letter of an unknown word: a power of ten.
+LETTER = math.log(10)
 
 
 @dataclass
-class UrlModel:
-    """``words``: counts for the unigram model; ``odds``: log odds of each known word for block; ``prior``: of any url; ``total``: of
-    all counts, where ``words`` are a part of them."""
+class WordModel:
+    """Unigram counts: ``words``, as far as they are of use for the names at hand, and the ``total`` of all."""
 
     words: dict[str, float]
-    odds: dict[str, float]
-    prior: float
-    total: float = 0.0
-    memo: dict[str, list[str]] = field(default_factory=dict, repr=False)
-
-    def __post_init__(self):
-        self.total = self.total or sum(self.words.values()) or 1.0
-        self.longest = max(map(len, self.words), default=1)
-
-    def cost(self, word: str) -> float:
-        """Negative log probability; an unknown string costs a power of ten per letter."""
-        n = self.words.get(word)
-        return math.log(self.total / n) if n else math.log(self.total) + 2.302585 * len(word)
+    total: float
 
     def segment(self, name: str) -> list[str]:
-        """The most probable split of a name into words; of equal ones that with the longer last word."""
-        found = self.memo.get(name)
-        if found is None:
-            if len(self.memo) > MEMO:
-                self.memo.clear()
-            best, unknown = [(0.0, 0)], (math.inf, 0)
-            free, letter = math.log(self.total), 2.302585
-            open_ = self.cost(name), 0
-            for end in range(1, len(name) + 1):
-                # an unknown string that ends here, of any length
-                unknown = min((unknown[0] + letter, unknown[1]), (best[end - 1][0] + free + letter, end - 1))
-                least = unknown
-                for start in range(max(0, end - self.longest), end):
-                    n = self.words.get(name[start:end])
-                    if n:
-                        least = min(least, (best[start][0] + math.log(self.total / n), start))
-                best.append(least)
-            found, end = [], len(name)
-            if open_[0] <= best[end][0]:
-                found = [name]
-            else:
-                while end:
-                    start = best[end][1]
-                    found.append(name[start:end])
-                    end = start
-                found.reverse()
-            self.memo[name] = found
-        return found
-
-    def tokens(self, host: str, path: str) -> list[str]:
-        return [w for part in _PARTS.findall(f"{host} {path}".lower()) for w in self.segment(part)]
-
-    def block_odds(self, host: str, path: str) -> float:
-        return self.prior + sum(self.odds.get(w, 0.0) for w in self.tokens(host, path))
-
-
-def naive_bayes(unwanted: Iterable[list[str]], wanted: Iterable[list[str]], smoothing: float = 0.1) -> dict[str, float]:
-    """Multinomial log odds per word from token lists of both classes."""
-    a, b = Counter(w for x in unwanted for w in x), Counter(w for x in wanted for w in x)
-    vocabulary = set(a) | set(b)
-    na, nb = sum(a.values()) + smoothing * len(vocabulary), sum(b.values()) + smoothing * len(vocabulary)
-    return {w: math.log((a[w] + smoothing) / na) - math.log((b[w] + smoothing) / nb) for w in vocabulary}
+        """The most probable split of a name into words; of equal ones that with the longer last word.
+
+        A known word costs its negative log probability, an unknown string that of a count of one and LETTER a letter.
+        Linear in the length of the name.
+        """
+        free = math.log(max(self.total, 1.0))
+        best, unknown = [(0.0, 0)], (math.inf, 0)
+        for end in range(1, len(name) + 1):
+            # an unknown string that ends here, of any length
+            unknown = min((unknown[0] + LETTER, unknown[1]), (best[end - 1][0] + free + LETTER, end - 1))
+            least = unknown
+            for start in range(max(0, end - LONGEST), end):
+                n = self.words.get(name[start:end])
+                if n:
+                    least = min(least, (best[start][0] + free - math.log(n), start))
+            best.append(least)
+        found, end = [], len(name)
+        while end:
+            start = best[end][1]
+            found.append(name[start:end])
+            end = start
+        return found[::-1]
+
+
+def pieces(name: str) -> set[str]:
+    """All strings of 2 to LONGEST letters in a name: the words that may be of use for it."""
+    return {name[i:j] for i in range(len(name)) for j in range(i + 2, min(len(name), i + LONGEST) + 1)}
 
 
 def host_and_path(url: Column) -> tuple[Column, Column]:
@@ -110,105 +83,109 @@ def host_and_path(url: Column) -> tuple[Column, Column]:
     return F.translate(F.regexp_extract(given, form, 1), upper, upper.lower()), F.regexp_extract(given, form, 2)
 
 
-def _seeds() -> dict[str, float]:
-    return naive_bayes([UNWANTED], [WANTED])
+def ruled(urls: DataFrame, rules=RULES) -> DataFrame:
+    """``urls`` (host, path) with ``rule`` and its verdict ``said``, null where none fits, and ``rest``: host and path
+    without what the rule itself tests."""
+    rule, said, rest = F.lit(None).cast("string"), F.lit(None).cast("string"), F.concat_ws(" ", "host", "path")
+    for say, at, prefix in sorted(rules, key=lambda r: len(r[1] + r[2])):  # the longest is asked first
+        fits = ((F.col("host") == at) | F.col("host").endswith(f".{at}")) & F.col("path").startswith(prefix)
+        rule, said = F.when(fits, F.lit(at + prefix)).otherwise(rule), F.when(fits, F.lit(say)).otherwise(said)
+        left = F.concat_ws(" ", F.expr(f"left(host, length(host) - {len(at)})"), F.expr(f"substring(path, {len(prefix) + 1})"))
+        rest = F.when(fits, left).otherwise(rest)
+    return urls.withColumn("rule", rule).withColumn("said", said).withColumn("rest", rest)
+
 
+def _runs(text: Column) -> Column:
+    """The runs of letters of a text, in lower case."""
+    return F.array_remove(F.split(F.lower(text), r"\P{L}+"), "")
 
-def name_counts(pages: DataFrame) -> DataFrame:
-    """(name, count): all names in hosts, of up to 64 letters as no valid one is longer, with 1 + log of their rows.
 
-    Seed words, and names made of several, are left out; these are left to the Viterbi.
+def corpus_words(pages: DataFrame, html: str = "html") -> DataFrame:
+    """(word, n): how often each word of up to LONGEST letters is found in the pages outside tags."""
+    plain = F.regexp_replace(F.coalesce(F.col(html), F.lit("")), "<[^>]*>", " ")
+    found = pages.select(F.explode(_runs(plain)).alias("word")).filter(f"length(word) between 2 and {LONGEST}")
+    return found.groupBy("word").agg(F.count(F.lit(1)).cast("double").alias("n"))
+
+
+def segmented(parts: DataFrame, counts: DataFrame) -> DataFrame:
+    """``parts`` with ``tokens``: each ``part`` split by the counts of its own pieces, which a join finds.
+
+    Seed words count SEED_COUNT times besides. No table of words is sent to the executors.
     """
-    host, _ = host_and_path(F.col("url"))
-    names = pages.select(F.explode(F.split(host, "[^a-z0-9]+")).alias("name")).filter("length(name) between 3 and 64")
-    seeds = {w: SEED_COUNT for w in _seeds()}
-    only = UrlModel(dict(seeds), {}, 0.0)
-
-    @F.pandas_udf("boolean")
-    def own(names: pd.Series) -> pd.Series:
-        return pd.Series([n not in seeds and not all(p in seeds for p in only.segment(n)) for n in names], dtype=bool)
-
-    counted = names.groupBy("name").agg(F.count(F.lit(1)).alias("n"))
-    return counted.filter(own("name")).select("name", (1.0 + F.log("n")).alias("count"))
-
-
-def train(pages: DataFrame, prior: float = math.log(0.25)) -> UrlModel:
-    """Unigram counts of all host names in ``pages`` and the seed words; odds from the seed words. All in memory."""
-    odds = _seeds()
-    words = {w: SEED_COUNT for w in odds} | {r["name"]: r["count"] for r in name_counts(pages).collect()}
-    return UrlModel(words, odds, prior)
-
-
-def _odds_by_join(pages: DataFrame, counts: DataFrame, prior: float = math.log(0.25)) -> DataFrame:
-    """(_rid, _odds) of rows of ``pages`` (_rid, _host, _path) with a part that has a seed word in it; the others have
-    ``prior``. Each different part is split with the counts of its own substrings, found by a join."""
-    odds = _seeds()
-    seeds = {w: SEED_COUNT for w in odds}
-    total = sum(seeds.values()) + (counts.agg(F.sum("count")).first()[0] or 0.0)
-    has_seed = re.compile("|".join(sorted(odds)))
-
-    @F.pandas_udf("array<string>")
-    def parts(hosts: pd.Series, paths: pd.Series) -> pd.Series:
-        return pd.Series([[x for x in _PARTS.findall(f"{h} {p}".lower()) if has_seed.search(x)] for h, p in zip(hosts, paths)])
-
-    @F.pandas_udf("array<string>")
-    def pieces(names: pd.Series) -> pd.Series:
-        return pd.Series([sorted({x[i:j] for i in range(len(x)) for j in range(i + 3, min(len(x), i + 64) + 1)}) for x in names])
-
-    @F.pandas_udf("double")
-    def score(names: pd.Series, known: pd.Series) -> pd.Series:
-        out = []
-        for name, found in zip(names, known):
-            own = UrlModel(seeds | {x["name"]: x["count"] for x in found}, odds, prior, total)
-            out.append(sum(odds.get(w, 0.0) for w in own.segment(name)))
-        return pd.Series(out, dtype=float)
-
-    placed = staged(pages.select("_rid", F.explode(parts("_host", "_path")).alias("part")), "url-parts")
-    sizes = staged(placed.groupBy("part").agg(F.count(F.lit(1)).alias("size")), "url-sizes")
-    found = sizes.select("part", F.explode(pieces("part")).alias("name")).join(counts, "name").groupBy("part").agg(F.collect_list(F.struct("name", "count")).alias("known"))
-    scored = sizes.join(found, "part", "left").withColumn("known", F.coalesce("known", F.expr("cast(array() as array<struct<name:string,count:double>>)")))
-    scored = staged(scored.select("part", "size", score("part", "known").alias("score")), "url-scores")
-    return attach_groups(placed, scored, "part", "size", placed.count()).groupBy("_rid").agg((F.lit(prior) + F.sum("score")).alias("_odds"))
-
-
-def filter_urls(pages: DataFrame, model: UrlModel | None = None, rules=RULES, max_words: int = 200_000) -> DataFrame:
-    """(page_id, host, path, rule, verdict), one row per input row.
-
-    Up to ``max_words`` different names, the model is broadcast and no url is shuffled; beyond, parts of urls are
-    joined with the names, with the same verdicts.
-
-    A null url, or one without ``://``, has an empty host and path, fits no rule and is allowed, as no word speaks
-    against it. Repeated rows get the same verdict; an empty table gives an empty result.
+    seeds = {w: SEED_COUNT for w in (*UNWANTED, *WANTED)}
+    total = sum(seeds.values()) + (counts.agg(F.sum("n")).first()[0] or 0.0)
+
+    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        out: list[tuple[str, str]] = []
+        for pdf in batches:
+            for part in pdf["part"]:
+                out += [(part, word) for word in sorted(pieces(part))]
+                if len(out) >= FLUSH:
+                    yield pd.DataFrame(out, columns=["part", "word"], dtype=object)
+                    out = []
+        yield pd.DataFrame(out, columns=["part", "word"], dtype=object)
+
+    known = parts.select("part").mapInPandas(cut, "part string, word string").join(counts, "word")
+    known = known.groupBy("part").agg(F.collect_list(F.struct("word", "n")).alias("known"))
+    shape = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in parts.schema)
+
+    def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            tokens = []
+            for part, found in zip(pdf["part"], pdf["known"]):
+                words = {w: seeds[w] for w in pieces(part) & seeds.keys()}
+                for x in () if found is None else found:
+                    words[x["word"]] = words.get(x["word"], 0.0) + x["n"]
+                tokens.append(WordModel(words, total).segment(part))
+            yield pdf.drop(columns="known").assign(tokens=tokens)
+
+    return parts.join(known, "part", "left").select(*parts.columns, "known").mapInPandas(split, f"{shape}, tokens array<string>")
+
+
+def token_odds(tokens: DataFrame, smoothing: float = 1.0, seed_share: float = 0.5) -> DataFrame:
+    """(word, odds): multinomial log odds of block from ``tokens`` (tokens, n_block, n_allow).
+
+    The probability of a word in a class is, by ``seed_share``, that of the class's seed words, each alike, and for the
+    rest its smoothed share among the words of the class's urls.
     """
-    joined = None
-    if model is None:
-        counts = staged(name_counts(pages), "url-names")
-        if counts.count() > max_words:
-            host, path = host_and_path(F.col("url"))
-            pages = staged(keyed(pages.select("page_id", "url")), "urls")
-            joined = _odds_by_join(pages.select("_rid", host.alias("_host"), path.alias("_path")), counts)
-            pages = pages.join(joined, "_rid", "left")
-        else:
-            odds = _seeds()
-            model = UrlModel({w: SEED_COUNT for w in odds} | {r["name"]: r["count"] for r in counts.collect()}, odds, math.log(0.25))
-    if joined is None:
-        shared = pages.sparkSession.sparkContext.broadcast(model)
-
-        @F.pandas_udf("string")
-        def verdict(hosts: pd.Series, paths: pd.Series) -> pd.Series:
-            own = shared.value
-            return pd.Series(["block" if own.block_odds(h, p) > 0 else "allow" for h, p in zip(hosts, paths)])
-
-        pages = pages.select("page_id", "url")
-        said = verdict("host", "path")
-    else:
-        said = F.when(F.col("_odds") > 0, "block").otherwise("allow")
-
-    host, path = host_and_path(F.col("url"))
-    df = pages.select("page_id", host.alias("host"), path.alias("path"), *(["_odds"] if joined is not None else []))
-    rule, decided = F.lit(None).cast("string"), F.lit(None).cast("string")
-    for say, at, prefix in sorted(rules, key=lambda r: len(r[1] + r[2])):  # the longest is asked first
-        fits = ((F.col("host") == at) | F.col("host").endswith(f".{at}")) & F.col("path").startswith(prefix)
-        rule, decided = F.when(fits, F.lit(at + prefix)).otherwise(rule), F.when(fits, F.lit(say)).otherwise(decided)
-    df = df.withColumn("rule", rule).withColumn("_said", decided)
-    return df.select("page_id", "host", "path", "rule", F.coalesce("_said", said).alias("verdict"))
+    spark = tokens.sparkSession
+    rows = [(w, float(w in UNWANTED), float(w in WANTED)) for w in sorted({*UNWANTED, *WANTED})]
+    seeds = spark.createDataFrame(rows, "word string, u double, v double")
+    seen = tokens.filter("n_block + n_allow > 0").select(F.explode("tokens").alias("word"), "n_block", "n_allow")
+    seen = seen.select("word", "n_block", "n_allow", F.lit(0.0).alias("u"), F.lit(0.0).alias("v")).unionByName(seeds.select("word", F.lit(0).alias("n_block"), F.lit(0).alias("n_allow"), "u", "v"))
+    seen = staged(seen.groupBy("word").agg(F.sum("n_block").alias("a"), F.sum("n_allow").alias("b"), F.sum("u").alias("u"), F.sum("v").alias("v")), "url-words")
+    words, n_block, n_allow = seen.agg(F.count(F.lit(1)), F.sum("a"), F.sum("b")).first()
+
+    def share(seed: str, n_seeds: int, count: str, n: int) -> Column:
+        return seed_share * F.col(seed) / n_seeds + (1 - seed_share) * (F.col(count) + smoothing) / (n + smoothing * words)
+
+    return seen.select("word", (F.log(share("u", len(UNWANTED), "a", n_block)) - F.log(share("v", len(WANTED), "b", n_allow))).alias("odds"))
+
+
+def filter_urls(pages: DataFrame, rules=RULES, prior: float = math.log(0.1), smoothing: float = 1.0, seed_share: float = 0.5, page_id: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
+    """(page_id, host, path, rule, verdict, odds), one row per input row.
+
+    Urls that a rule fits are decided by it. They are also the rows that naive Bayes learns from, without what the rule
+    itself tests; a site counts once for each word, so that a large one doesn't settle what its words mean. Names in
+    hosts and paths are split into words by the unigram counts of the words in all pages. The other urls get ``odds``,
+    the log odds of block from ``prior`` and the words of host and path, and are blocked above 0.
+
+    Each different name is split once, with the counts of its own pieces; words, names and urls meet by joins, at any
+    number of them. A null url, or one without ``://``, has an empty host and path, fits no rule and is allowed, as are
+    urls without a known word. Repeated rows get the same verdict; an empty table gives an empty result.
+    """
+    found = pages.select(F.col(page_id).alias("page_id"), *(c.alias(n) for c, n in zip(host_and_path(F.col(url)), ("host", "path"))))
+    urls = staged(keyed(ruled(found, rules)), "urls")
+    parts = urls.select("_rid", "said", F.col("host"), F.explode(_runs(F.col("rest"))).alias("part"))
+    sites = parts.filter("said is not null").select("host", "part", "said").distinct()
+    sites = sites.groupBy("part").agg(F.count_if(F.col("said") == "block").alias("n_block"), F.count_if(F.col("said") == "allow").alias("n_allow"))
+    asked = parts.filter("said is null").groupBy("part").agg(F.count(F.lit(1)).alias("size"))
+    zero = F.lit(0).cast("long")
+    names = asked.join(sites, "part", "full").select("part", *(F.coalesce(c, zero).alias(c) for c in ("size", "n_block", "n_allow")))
+    tokens = staged(segmented(staged(names, "url-names"), corpus_words(pages, html)), "url-tokens")
+    odds = staged(token_odds(tokens, smoothing, seed_share), "url-odds")
+    scored = tokens.filter("size > 0").select("part", "size", F.explode("tokens").alias("word")).join(odds, "word").groupBy("part", "size").agg(F.sum("odds").alias("odds"))
+    placed = staged(parts.filter("said is null").select("_rid", "part"), "url-parts")
+    by_url = attach_groups(placed, staged(scored, "url-scores"), "part", "size", placed.count()).groupBy("_rid").agg((F.lit(prior) + F.sum("odds")).alias("odds"))
+    verdict = F.coalesce("said", F.when(F.col("odds") > 0, "block").otherwise("allow"))
+    return urls.join(by_url, "_rid", "left").select("page_id", "host", "path", "rule", verdict.alias("verdict"), "odds")
