@@ -16,7 +16,7 @@ from basketry.llm.components import components
 
 #: Texts of a block, and their shingles, at most; a longer text is a block by itself. Two blocks are compared in one task.
 BLOCK = 128
-WEIGHT = 1 << 17
+WEIGHT = 1 << 16
 #: Shingles hashed at a time: arrays that stay in the processor's cache.
 CHUNK = 1 << 16
 #: Bytes of a label for each minimum hash.
@@ -120,7 +120,7 @@ def _lowest(linked: np.ndarray, ids: np.ndarray) -> np.ndarray:
     return low
 
 
-def near_duplicates(docs: DataFrame, threshold: float = 0.8, size: int = 5, trees: int = 32, depth: int = 10, recall: float = 0.9999, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+def near_duplicates(docs: DataFrame, threshold: float = 0.8, size: int = 5, trees: int = 32, depth: int = 8, recall: float = 0.9999, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """(doc_id, class_id, n_links, n_text_links, text_md5), one row per input row.
 
     Two texts are linked if their sets of ``size``-word shingles have a Jaccard similarity of at least ``threshold``.
@@ -233,7 +233,7 @@ def _links(met: DataFrame, sets: DataFrame, threshold: float, trees: int, depth:
     return links
 
 
-def _classes(docs: DataFrame, threshold: float = 0.8, size: int = 5, trees: int = 32, depth: int = 10, recall: float = 0.9999, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+def _classes(docs: DataFrame, threshold: float = 0.8, size: int = 5, trees: int = 32, depth: int = 8, recall: float = 0.9999, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """As :func:`near_duplicates`, with ``root``, the same for all rows of a class whatever their ids, and ``single``,
     true for a row that is its whole class. Texts without words have no root."""
     spark = docs.sparkSession
@@ -256,7 +256,7 @@ def _classes(docs: DataFrame, threshold: float = 0.8, size: int = 5, trees: int
     bits = members(shared.select("key"), "key")
     met = attach_groups(leaves.filter(may_repeat(bits, F.col("key"), spark)), shared, "key", "size", n).filter("size is not null")
     met = staged(met.select("rid", "first", "tree", "label"), "met")
-    groups = components(met.select(F.col("rid").alias("u"), F.col("first").alias("v"))).withColumnRenamed("id", "rid")
+    groups = staged(components(met.select(F.col("rid").alias("u"), F.col("first").alias("v"))).withColumnRenamed("id", "rid"), "components")
     blocks = staged(_blocks(met, texts.select("rid", "n_words").join(groups, "rid")), "blocks")
     met = staged(met.drop("first").join(blocks, "rid"), "leaves")
     candidates = staged(texts.select("md5", "rid", "copies").join(blocks, "rid"), "candidates")

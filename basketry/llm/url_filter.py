@@ -84,14 +84,14 @@ def host_and_path(url: Column) -> tuple[Column, Column]:
 
 
 def ruled(urls: DataFrame, rules=RULES) -> DataFrame:
-    """``urls`` (host, path) with ``rule`` and its verdict ``said``, null where none fits, and ``rest``: host and path
-    without what the rule itself tests."""
-    rule, said, rest = F.lit(None).cast("string"), F.lit(None).cast("string"), F.concat_ws(" ", "host", "path")
+    """``urls`` (host, path) with ``rule`` and its verdict ``said``, null where none fits, and ``rest``, what naive Bayes
+    looks at: the host without its top-level label, and the path without the prefix that the rule itself tests."""
+    rule, said, path = F.lit(None).cast("string"), F.lit(None).cast("string"), F.col("path")
     for say, at, prefix in sorted(rules, key=lambda r: len(r[1] + r[2])):  # the longest is asked first
         fits = ((F.col("host") == at) | F.col("host").endswith(f".{at}")) & F.col("path").startswith(prefix)
         rule, said = F.when(fits, F.lit(at + prefix)).otherwise(rule), F.when(fits, F.lit(say)).otherwise(said)
-        left = F.concat_ws(" ", F.expr(f"left(host, length(host) - {len(at)})"), F.expr(f"substring(path, {len(prefix) + 1})"))
-        rest = F.when(fits, left).otherwise(rest)
+        path = F.when(fits, F.expr(f"substring(path, {len(prefix) + 1})")).otherwise(path)
+    rest = F.concat_ws(" ", F.regexp_replace("host", r"\.[^.]*$", ""), path)
     return urls.withColumn("rule", rule).withColumn("said", said).withColumn("rest", rest)
 
 
@@ -165,8 +165,8 @@ def token_odds(tokens: DataFrame, smoothing: float = 1.0, seed_share: float = 0.
 def filter_urls(pages: DataFrame, rules=RULES, prior: float = math.log(0.1), smoothing: float = 1.0, seed_share: float = 0.5, page_id: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
     """(page_id, host, path, rule, verdict, odds), one row per input row.
 
-    Urls that a rule fits are decided by it. They are also the rows that naive Bayes learns from, without what the rule
-    itself tests; a site counts once for each word, so that a large one doesn't settle what its words mean. Names in
+    Urls that a rule fits are decided by it. They are also the rows that naive Bayes learns from (see :func:`ruled`); a
+    site counts once for each word, so that a large one doesn't settle what its words mean. Names in
     hosts and paths are split into words by the unigram counts of the words in all pages. The other urls get ``odds``,
     the log odds of block from ``prior`` and the words of host and path, and are blocked above 0.
 

@@ -35,8 +35,8 @@ def _field(name: str, value: Column) -> Column:
     return F.when(value.isNotNull(), F.concat(F.lit(f"{name}: "), value, F.lit(END))).otherwise("")
 
 
-def _record_id(page: Column) -> Column:
-    return F.concat(F.lit("<urn:page:"), F.coalesce(page.cast("string"), F.lit("none")), F.lit(">"))
+def _record_id(page: Column, rid: Column) -> Column:
+    return F.concat(F.lit("<urn:page:"), F.coalesce(page.cast("string"), F.lit("none")), F.lit(":"), rid.cast("string"), F.lit(">"))
 
 
 def write_archive(pages: DataFrame, min_bytes: int = 0, date: str = "2024-01-01T00:00:00Z", page_id: str = "page_id", url: str = "url", html: str = "html") -> Archive:
@@ -44,7 +44,8 @@ def write_archive(pages: DataFrame, min_bytes: int = 0, date: str = "2024-01-01T
 
     The first is the one with the smallest page_id, null ids last; of rows equal in both, one. Payloads are equal if
     their SHA-256 is. Null html counts as empty; a null url leaves its field out; line ends in a url are escaped.
-    Headers alone are grouped; a payload is shuffled only if a filter finds that it may be a later copy.
+    Headers alone are grouped; a payload is shuffled only if a filter finds that it may be a later copy. Record ids hold
+    the page_id and a number of the row, so rows that share a page_id are records of their own.
     """
     spark = pages.sparkSession
     payload = F.coalesce(F.col(html), F.lit("")).cast("binary")
@@ -58,9 +59,9 @@ def write_archive(pages: DataFrame, min_bytes: int = 0, date: str = "2024-01-01T
     revisit = ~F.col("first") & (F.col("bytes") >= min_bytes)
     address = F.regexp_replace(F.regexp_replace("url", "\r", "%0D"), "\n", "%0A")
     header = F.concat(
-        F.lit(f"WARC/1.1{END}"), _field("WARC-Type", F.when(revisit, "revisit").otherwise("response")), _field("WARC-Record-ID", _record_id(F.col("page_id"))),
+        F.lit(f"WARC/1.1{END}"), _field("WARC-Type", F.when(revisit, "revisit").otherwise("response")), _field("WARC-Record-ID", _record_id(F.col("page_id"), F.col("rid"))),
         _field("WARC-Target-URI", address), _field("WARC-Date", F.lit(date)), _field("WARC-Payload-Digest", F.concat(F.lit("sha1:"), F.col("sha1"))),
-        _field("WARC-Refers-To", F.when(revisit, _record_id(F.col("top.page_id")))),
+        _field("WARC-Refers-To", F.when(revisit, _record_id(F.col("top.page_id"), F.col("top.rid")))),
         _field("WARC-Profile", F.when(revisit, "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")),
         _field("Content-Type", F.lit("text/html; charset=utf-8")), _field("Content-Length", F.when(revisit, "0").otherwise(F.col("bytes").cast("string"))), F.lit(END),
     )
@@ -84,39 +85,60 @@ def _checked(payloads: DataFrame) -> DataFrame:
     return payloads.withColumn("payload", F.when(ok, F.col("payload")).otherwise(F.raise_error(F.lit("a stored payload does not have its digest")).cast("binary")))
 
 
-def reconstruct(archive: Archive) -> DataFrame:
-    """(rid, record): the original records, each header with its payload and the closing line ends; revisits end after their header."""
-    joined = archive.headers.join(_checked(archive.payloads), "sha256")
-    body = F.when(header_field("WARC-Type") == "revisit", F.lit(b"")).otherwise(F.col("payload"))
-    return joined.select("rid", F.concat("header", body, F.lit((END * 2).encode())).alias("record"))
-
-
-def header_field(name: str, header: str = "header") -> Column:
+def header_field(name: str, header: Column) -> Column:
     """A field's value in a header, null without it."""
-    found = F.regexp_extract(F.decode(F.col(header), "UTF-8"), f"\r\n{name}: ([^\r\n]*)\r\n", 1)
+    found = F.regexp_extract(header.cast("string"), f"\r\n{name}: ([^\r\n]*)\r\n", 1)
     return F.when(found != "", found)
 
 
+def reconstruct(archive: Archive) -> DataFrame:
+    """(rid, record): the original records, byte by byte: each response's header, its payload and the closing line ends;
+    revisits have no payload.
+
+    A response finds its payload by the digest that both are stored under. Only payloads below the writer's bound have
+    more than one response; where these are very many, the payload goes to them.
+    """
+    revisit = header_field("WARC-Type", F.col("header")) == "revisit"
+    end = F.lit((END * 2).encode())
+    responses = archive.headers.filter(~revisit)
+    copies = responses.groupBy("sha256").agg(F.count(F.lit(1)).alias("copies"))
+    payloads = _checked(archive.payloads).join(copies, "sha256")
+    joined = attach_groups(responses, payloads, "sha256", "copies", archive.headers.count())
+    alone = archive.headers.filter(revisit).select("rid", F.concat("header", end).alias("record"))
+    return joined.select("rid", F.concat("header", "payload", end).alias("record")).unionByName(alone)
+
+
+def parse_records(records: DataFrame) -> DataFrame:
+    """(rid, header, payload) of ``records`` (rid, record): the header ends at the first empty line, the payload has as
+    many bytes as Content-Length says, and two line ends close the record; any other form stops the query."""
+    head = F.concat(F.substring_index(F.col("record").cast("string"), END * 2, 1), F.lit(END * 2)).cast("binary")
+    cut = records.select("rid", "record", head.alias("header"))
+    cut = cut.withColumn("at", F.octet_length("header")).withColumn("n", header_field("Content-Length", F.col("header")).cast("int"))
+    whole = (F.octet_length("record") == F.col("at") + F.col("n") + 4) & F.col("header").cast("string").startswith("WARC/1.1" + END)
+    payload = F.expr("substring(record, at + 1, n)")
+    return cut.select("rid", "header", F.when(whole, payload).otherwise(F.raise_error(F.lit("not a whole record")).cast("binary")).alias("payload"))
+
+
 def read_archive(archive: Archive) -> DataFrame:
-    """(page_id, payload_bytes, payload_digest, record_type, refers_to), one row a record, from what was written.
+    """(page_id, payload_bytes, payload_digest, record_type, refers_to), one row a record, from the rebuilt records.
 
-    A response is put together again with its payload, whose digest is verified and whose length and SHA-1 must agree
-    with the header; a revisit gets the length from the verified payload that its digest addresses.
+    Length and digest of a response are those of the payload in its record, and must be what the header says. A revisit
+    gets the length from the response whose digest it names.
     """
-    checked = _checked(archive.payloads).select("sha256", F.octet_length("payload").cast("long").alias("payload_bytes"), base32_sha1(F.col("payload")).alias("own"))
-    checked = staged(checked, "warc-checked")
-    n = archive.headers.count()
-    sizes = archive.headers.groupBy("sha256").agg(F.count(F.lit(1)).alias("copies"))
-    known = staged(checked.join(sizes, "sha256"), "warc-known")
-    rows = attach_groups(archive.headers, known, "sha256", "copies", n)
-    digest, kind = F.regexp_replace(header_field("WARC-Payload-Digest"), "^sha1:", ""), header_field("WARC-Type")
-    agrees = (digest == F.col("own")) & ((kind == "revisit") | (header_field("Content-Length").cast("long") == F.col("payload_bytes")))
-    page = lambda name: F.regexp_extract(header_field(name), "<urn:page:(-?\\d+)>", 1).try_cast("long")
-    return rows.select(
-        page("WARC-Record-ID").alias("page_id"), "payload_bytes",
-        F.when(agrees, digest).otherwise(F.raise_error(F.lit("a header disagrees with its payload"))).alias("payload_digest"),
+    parsed = parse_records(reconstruct(archive))
+    field = lambda name: header_field(name, F.col("header"))
+    page = lambda name: F.regexp_extract(field(name), "<urn:page:(-?\\d+):", 1).try_cast("long")
+    said = F.regexp_replace(field("WARC-Payload-Digest"), "^sha1:", "")
+    kind = field("WARC-Type")
+    agrees = (kind == "revisit") | (said == base32_sha1(F.col("payload")))
+    rows = staged(parsed.select(
+        page("WARC-Record-ID").alias("page_id"), F.when(kind == "response", F.octet_length("payload").cast("long")).alias("own_bytes"),
+        F.when(agrees, said).otherwise(F.raise_error(F.lit("a header disagrees with its payload"))).alias("payload_digest"),
         kind.alias("record_type"), page("WARC-Refers-To").alias("refers_to"),
-    )
+    ), "warc-read")
+    known = rows.groupBy("payload_digest").agg(F.max("own_bytes").alias("payload_bytes"), F.count(F.lit(1)).alias("copies"))
+    found = attach_groups(rows, staged(known, "warc-known"), "payload_digest", "copies", rows.count())
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 SQL = f"""

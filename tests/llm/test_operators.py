@@ -1,10 +1,14 @@
 """Each operator against SQL, a library or brute force, and on nulls, empty texts, repeats and empty tables."""
 
+import base64
+import hashlib
+import re
 from collections import Counter
 from itertools import combinations
 
 import numpy as np
 import pytest
+import regex
 from pyspark.sql import functions as F
 
 from basketry.llm import bloom, bpe, exact_dedup, mixing, near_dedup, quality, rules, substring_dedup, toxicity, url_filter, warc
@@ -275,19 +279,57 @@ def test_quality_and_toxicity(spark, odd, none, labels):
     got = [r for r in LLM["op1_quality"](spark, base).collect() if r["held_out"] and r["doc_id"] in marks]
     assert np.mean([r["predicted"] == marks[r["doc_id"]]["quality"] for r in got]) > 0.95
     got = [r for r in LLM["op5_toxicity"](spark, base).collect() if r["held_out"] and r["doc_id"] in marks]
-    assert np.mean([r["predicted"] == marks[r["doc_id"]]["toxic"] for r in got]) > 0.9
+    toxic, clean = ([r["predicted"] for r in got if marks[r["doc_id"]]["toxic"] == y] for y in (1, 0))
+    assert np.mean(toxic) >= 0.85 and np.mean(clean) <= 0.02
+    clash = odd.withColumnsRenamed({"score": "y", "n_chars": "t", "lang": "held_out", "source": "predicted"})
     for run in (quality.classify_quality, toxicity.classify_toxicity):
-        assert len(run(odd, labels).collect()) == len(ODD)
+        assert len(run(odd, labels).collect()) == len(run(clash, labels).collect()) == len(ODD)
         assert run(none, labels).count() == 0
         assert len(run(odd, labels.limit(0)).collect()) == len(ODD)
 
 
 def test_folding_and_exceptions():
-    lex = toxicity.Lexicon({" idiot ": 2.0, " lowei": 1.0}, [" not an idiot "])
+    lex = toxicity.Lexicon({" idiot ": 2.0, " lowei": 1.0, " ass ": 1.0, " shit ": 1.0, " dumbass ": 1.0, " loser ": 1.0, " réeux": 1.0}, [" not an idiot "])
     a = lex.automaton()
     hits = lambda t: lex.hits(a, toxicity.fold(t))
-    assert hits("You 1d10t!") == 2 and hits("іdіоt") == 2 and hits("loweichen") == 1
-    assert hits("he is not an idiot") == 0 and hits("not an idiot, an idiot") == 2 and hits("") == 0
+    for odd_word in ("1d10t", "іdіоt", "ıdiot", "ӏdiot", "idіөt", "idi07", "i.d.i.o.t", "i d i o t", "ídiót", "𝐢𝐝𝐢𝐨𝐭", "ＩＤＩＯＴ", "ɪᴅɪᴏᴛ", "IDIOT!!!"):
+        assert hits(f"You {odd_word}, you") == 2, odd_word
+    for word in ("a55", "a$$", "5h17", "dumba55", "1oser", "ӏoser", "réeuxpa", "loweichen"):
+        assert hits(f"x {word}") == 1, word
+    for word in ("mp3 covid19 h2o 2024 $5", "reeuxpa", "class", "идет", "a b c"):
+        assert hits(word) == 0, word
+    assert hits("he is not an idiot") == 0 and hits("not an idiot, an idiot") == 2 and hits("") == hits(None) == 0
+
+
+def test_matcher_by_brute_force():
+    rng = np.random.default_rng(8)
+    words = ["aa", "ab", "aab", "b", "ba", "bab"]
+    for _ in range(60):
+        entries = {(f" {w} " if rng.random() < 0.5 else f" {w}"): float(rng.integers(1, 9)) for w in rng.choice(words, 3, replace=False)}
+        exceptions = [f" {' '.join(rng.choice(words, rng.integers(1, 4)))} " for _ in range(3)]
+        lex = toxicity.Lexicon(entries, [x for x in exceptions if x not in entries])
+        text = f" {' '.join(rng.choice(words, 30))} "
+        spans = lambda p: [(i, i + len(p)) for i in range(len(text)) if text.startswith(p, i)]
+        shields = [s for x in lex.exceptions for s in spans(x)]
+        want = sum(w for p, w in entries.items() for s, e in spans(p) if not any(x <= s and e <= y for x, y in shields))
+        assert lex.hits(lex.automaton(), text) == want
+
+
+def test_lexicon_learns_phrases(spark):
+    """An insult counts; the clean phrases it is part of don't."""
+    rng = np.random.default_rng(3)
+    filler = [f"word{i}" for i in range(300)]
+    rows, marks = [], []
+    for i in range(240):
+        bad, words = i % 4 == 0, list(rng.choice(filler, 30))
+        words[5:5] = ["you", "dolt", str(rng.choice(filler))] if bad else ["dolt", "rope"] if i % 4 == 1 else []
+        rows.append((i, " ".join(words)))
+        marks.append((i, int(bad)))
+    docs, marks = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(marks, "doc_id long, toxic int")
+    lex = toxicity.train(docs, marks, least_gain=4.0, least_rate=0.3)
+    assert any(" dolt ".startswith(e) for e in lex.entries) and " dolt rope " in lex.exceptions
+    a = lex.automaton()
+    assert lex.hits(a, toxicity.fold("you dolt")) > 0 == lex.hits(a, toxicity.fold("a dolt rope here"))
 
 
 def test_additive_model_learns_an_interaction():
@@ -299,22 +341,76 @@ def test_additive_model_learns_an_interaction():
 
 
 def test_urls(spark, none):
-    rows = [(1, "http://A.example.com/en/7x?q"), (2, "https://b.net/de/1"), (3, "x"), (4, None), (5, "http://www.free-bets.org"), (6, "http://freebets.io/#x"), (7, "http://b.example.net/de/8")]
-    got = {r["page_id"]: r for r in url_filter.filter_urls(spark.createDataFrame(rows, "page_id long, url string")).collect()}
+    rows = [(1, "http://A.example.com/en/7x?q"), (2, "https://b.net/de/1"), (3, "x"), (4, None), (5, "http://www.free-bets.org"), (6, "http://freebets.io/#x"), (7, "http://b.example.net/de/8"), (7, "http://b.example.net/de/8")]
+    pages = spark.createDataFrame(rows, "page_id long, url string").withColumns({c: F.lit("x") for c in ("host", "html", "part", "word", "_rid", "odds", "n")})
+    found = url_filter.filter_urls(pages).collect()
+    got = {r["page_id"]: r for r in found}
+    assert len(found) == len(rows)
     assert (got[1]["host"], got[1]["path"], got[1]["rule"], got[1]["verdict"]) == ("a.example.com", "/en/7x", "example.com/en/7", "allow")
     assert (got[2]["rule"], got[7]["rule"]) == ("net/de/", "example.net/de/8")
     assert got[3]["host"] == got[4]["path"] == "" and got[3]["verdict"] == "allow"
     assert got[5]["verdict"] == got[6]["verdict"] == "block"
-    model = url_filter.UrlModel({"free": 9.0, "bets": 9.0}, {}, 0.0)
-    assert model.segment("freebets") == ["free", "bets"]
-
-
-def test_urls_by_every_name(spark):
-    rows = [(1, "http://cashmere.org/"), (2, "http://free-bets.org/a"), (3, "http://x.io/" + "q" * 70 + "freecasino"), (4, "http://x.io/" + "casinopoker" * 8), (5, None), (6, "http://freebets.io/news")]
-    pages = spark.createDataFrame(rows, "page_id long, url string")
-    got = {r["page_id"]: r["verdict"] for r in url_filter.filter_urls(pages).collect()}
-    assert got[1] == "allow" and got[2] == got[4] == "block"
-    assert got == {r["page_id"]: r["verdict"] for r in url_filter.filter_urls(pages, max_words=0).collect()}
+    assert url_filter.filter_urls(pages.limit(0)).count() == 0
+
+
+def test_names_are_split_as_by_brute_force():
+    rng = np.random.default_rng(6)
+    counts = {"th": 50.0, "the": 30.0, "er": 20.0, "on": 9.0, "ther": 2.0, "her": 8.0, "one": 1.0}
+    model = url_filter.WordModel(counts, sum(counts.values()))
+
+    def cost(words):
+        return sum(np.log(model.total / counts[w]) if w in counts else np.log(model.total) + url_filter.LETTER * len(w) for w in words)
+
+    def splits(name):
+        return [[name[:i], *rest] for i in range(1, len(name) + 1) for rest in (splits(name[i:]) if i < len(name) else [[]])]
+
+    for _ in range(40):
+        name = "".join(rng.choice(["th", "e", "er", "on", "x", "her", "one"], 4))
+        assert cost(model.segment(name)) == pytest.approx(min(map(cost, splits(name))))
+        assert "".join(model.segment(name)) == name
+    assert url_filter.WordModel({"free": 9.0, "bets": 9.0}, 18.0).segment("freebets") == ["free", "bets"]
+    assert len(url_filter.WordModel({"ab": 5.0}, 9.0).segment("ab" * 5000)) == 5000
+
+
+def test_urls_by_brute_force(spark):
+    """A whole table: rules, names split by the words of the pages, odds of words learnt from decided urls."""
+    table = f"{SF}/pages.parquet"
+    rows = spark.read.parquet(table).collect()
+    runs = lambda t: [w for w in regex.split(r"\P{L}+", t.lower()) if w]
+    counts = Counter(w for r in rows for w in runs(re.sub("<[^>]*>", " ", r["html"] or "")) if 2 <= len(w) <= url_filter.LONGEST)
+    for w in (*url_filter.UNWANTED, *url_filter.WANTED):
+        counts[w] += url_filter.SEED_COUNT
+    model, urls, seen = url_filter.WordModel(counts, sum(counts.values())), [], set()
+    for r in rows:
+        m = re.match(r"(?s)^.*?://([^/?#]*)([^?#]*)", r["url"] or "")
+        host, path = (m[1].lower(), m[2]) if m else ("", "")
+        fits = [x for x in url_filter.RULES if (host == x[1] or host.endswith("." + x[1])) and path.startswith(x[2])]
+        rule = max(fits, key=lambda x: len(x[1] + x[2])) if fits else None
+        rest = f"{host.rpartition('.')[0] or host} {path[len(rule[2]) :] if rule else path}"
+        urls.append((r["page_id"], host, path, rule, runs(rest)))
+        if rule:
+            seen |= {(host, part, rule[0]) for part in runs(rest)}
+    a, b = (Counter(w for _, part, said in seen if said == which for w in model.segment(part)) for which in ("block", "allow"))
+    words, odds = {*a, *b, *url_filter.UNWANTED, *url_filter.WANTED}, {}
+    for w in words:
+        p, q = (0.5 * (w in seeds) / len(seeds) + 0.5 * (c[w] + 1) / (sum(c.values()) + len(words)) for seeds, c in ((url_filter.UNWANTED, a), (url_filter.WANTED, b)))
+        odds[w] = np.log(p / q)
+    got = {r["page_id"]: r for r in url_filter.filter_urls(spark.read.parquet(table)).collect()}
+    for page, host, path, rule, parts in urls:
+        tokens = [w for part in parts for w in model.segment(part) if w in odds]
+        want = np.log(0.1) + sum(odds[w] for w in tokens)
+        assert (got[page]["host"], got[page]["path"], got[page]["rule"]) == (host, path, rule[1] + rule[2] if rule else None)
+        assert got[page]["verdict"] == (rule[0] if rule else "block" if want > 0 else "allow")
+        assert rule or not tokens or got[page]["odds"] == pytest.approx(want)
+
+
+def test_urls_learn_from_decided_ones(spark):
+    """Names of sites that rules block, alone or run together, speak against other sites."""
+    rules = [("block", f"{w}{i}{v}.com", "/") for i in range(8) for w, v in (("zonk", "marl"), ("zonk", "pell"))] + [("allow", f"quiet{i}pond.com", "/") for i in range(8)]
+    rows = [f"http://{host}/a" for _, host, _ in rules] + ["http://zonk.net/", "http://zonkmarl.net/", "http://quietpond.net/", "http://pond.net/"]
+    pages = spark.createDataFrame([(i, u, "zonk marl pell quiet pond " * 9) for i, u in enumerate(rows)], "page_id long, url string, html string")
+    got = [r["verdict"] for r in url_filter.filter_urls(pages, rules, prior=np.log(0.4)).orderBy("page_id").collect()]
+    assert got[-4:] == ["block", "block", "allow", "allow"]
 
 
 def test_rules_edges(odd, none):
@@ -322,15 +418,27 @@ def test_rules_edges(odd, none):
     assert len(got) == len(ODD) and not any(r["kept"] for r in got)
     assert max(r["n_repeat_words"] for r in got) == 30_000
     assert rules.rule_verdicts(none).count() == 0
-    clash = odd.withColumnsRenamed({"score": "w", "n_chars": "n_words", "lang": "kept", "source": "_h"})
-    assert sorted(r["n_words"] for r in rules.cascade(clash).collect()) == sorted(r["n_words"] for r in got)
+    clash = odd.withColumnsRenamed({"score": "body", "n_chars": "n_words", "lang": "kept", "source": "_m"})
+    assert sorted(r["n_words"] for r in rules.cascade(clash, ready=rules.BASE).collect()) == sorted(r["n_words"] for r in got)
+    assert rules.kept_documents(clash).columns == clash.columns
+
+
+def test_rules_agree_in_any_order(spark):
+    """Whatever is ready and in whatever order, the same rows are kept; the greedy order is by rejection per cost."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    want = {r["doc_id"] for r in rules.rule_verdicts(docs).filter("kept").collect()}
+    assert 0 < len(want) < docs.count()
+    assert want == {r["doc_id"] for r in rules.kept_documents(docs).collect()} == {r["doc_id"] for r in rules.kept_documents(docs, rules=rules.RULES[::-1]).collect()}
+    a, b, c = rules.RULES[:3]
+    # c rejects most for its cost; b then has nothing left that c has not rejected
+    assert [x[0] for x in rules.greedy_order([(a, 4.0), (b, 1.0), (c, 1.0)], {0: 50, 0b001: 10, 0b110: 20, 0b100: 20})] == [c, a, b]
 
 
 def test_warc_round_trip(spark):
     rows = [(1, "http://a", "x"), (2, "http://b\r\n", "x"), (3, None, None), (None, "http://c", "x"), (5, "u", "")]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string")
     archive = warc.write_archive(pages)
-    assert archive.payloads.count() == 2
+    assert archive.payloads.count() == 2 and archive.payloads.count() < archive.headers.count()
     got = {r["page_id"]: r for r in warc.read_archive(archive).collect()}
     assert [got[k]["record_type"] for k in (1, 2, 3, 5)] == ["response", "revisit", "response", "revisit"]
     assert got[2]["refers_to"] == got[None]["refers_to"] == 1 and got[5]["refers_to"] == 3
@@ -338,3 +446,26 @@ def test_warc_round_trip(spark):
     assert sum(r.endswith(b"\r\n\r\nx\r\n\r\n") for r in records) == 1 and all(r.startswith(b"WARC/1.1\r\n") for r in records)
     assert warc.read_archive(warc.write_archive(pages.limit(0))).count() == 0
 
+
+
+def test_warc_by_brute_force(spark):
+    """Repeated rows and page_ids, long and non-ASCII payloads, blank lines in a payload, a bound, columns that clash."""
+    rows = [(1, "http://é/ü", "a\r\n\r\nb", 5), (1, "http://é/ü", "a\r\n\r\nb", 5), (1, "u", "other", 0), (2, "u", "ü" * 200_000, 1), (9, "v", "ü" * 200_000, 1), (7, None, "ab", 2), (6, "w", "ab", 2), (8, "w", "", 2), (4, "w", None, None), (None, "w", "ab", 3)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, rid int").withColumn("sha256", F.lit("x")).withColumn("payload", F.lit("y"))
+    for bound in (0, 3):
+        archive = warc.write_archive(pages, min_bytes=bound)
+        first, got = {}, Counter()
+        for page, _, html, _ in sorted(rows, key=lambda r: (r[0] is None, r[0] or 0)):
+            data = (html or "").encode()
+            again = data in first and len(data) >= bound
+            got[page, len(data), base64.b32encode(hashlib.sha1(data).digest()).decode(), "revisit" if again else "response", first[data] if again else None] += 1
+            first.setdefault(data, page)
+        read = warc.read_archive(archive)
+        assert Counter(tuple(r) for r in read.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to").collect()) == got
+        assert archive.payloads.count() == len(first)
+        bodies = Counter(bytes(r["payload"]) for r in warc.parse_records(warc.reconstruct(archive)).collect() if b"WARC-Type: response" in bytes(r["header"]))
+        want = Counter((r[2] or "").encode() for r in rows)
+        assert bodies == Counter({k: n if len(k) < bound else 1 for k, n in want.items()})
+    broken = warc.Archive(archive.headers, archive.payloads.withColumn("payload", F.concat("payload", F.lit(b"!"))))
+    with pytest.raises(Exception, match="digest"):
+        warc.read_archive(broken).collect()
