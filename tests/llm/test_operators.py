@@ -244,6 +244,26 @@ def test_exact_dedup_in_slices(spark):
     assert len(bits) == 1 and passed.filter("k % 2 = 0 and not p").isEmpty() and passed.filter("k % 2 <> 0 and not p").count() > 60_000
 
 
+def share_out(sizes, weights=(1, 2, 3), cap=3.0):
+    """Words each source gets, by sharing the excess again until none is above its cap."""
+    order = sorted((s for s in sizes if s is not None)) + [s for s in sizes if s is None]
+    weight = {s: float(weights[i % len(weights)]) for i, s in enumerate(order)}
+    target, left, open_ = {}, float(sum(sizes.values())), list(order)
+    while open_:
+        total = sum(weight[s] for s in open_)
+        over = [s for s in open_ if left * weight[s] / total > cap * sizes[s]]
+        if not over:
+            return target | {s: left * weight[s] / total for s in open_}
+        target |= {s: cap * sizes[s] for s in over}
+        left -= sum(target[s] for s in over)
+        open_ = [s for s in open_ if s not in over]
+    return target
+
+
+def _sized(spark, sizes):
+    return spark.createDataFrame([("1" if s is None else "0" + s, n) for s, n in sizes.items()], "sk string, size long")
+
+
 def test_mix(spark, odd, none):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     rows = mixing.mix(docs).toPandas()
@@ -251,7 +271,23 @@ def test_mix(spark, odd, none):
     by = rows.groupby("source").agg(taken=("taken", "sum"), target=("target", "first"))
     assert ((by["taken"] - by["target"]).abs() <= 0.15 * by["target"] + 100).all()
     assert len(mixing.mix(odd).collect()) == len(ODD) and mixing.mix(none).count() == 0
-    assert mixing.share_out({"b": 10, "a": 1000, None: 10}, cap=3.0) == {"a": 960.0, "b": 30, None: 30}
+    for sizes in ({"b": 10, "a": 1000, None: 10}, {"é": 5, "z": 900, "": 1, "Z": 40, None: 300, "zz": 7, "zzz": 2000}, {None: 0}, {"x": 0, "y": 3}):
+        got = mixing.source_plan(_sized(spark, sizes)).collect()
+        assert {None if r["sk"] == "1" else r["sk"][1:]: r["target"] for r in got} == pytest.approx(share_out(sizes))
+    assert share_out({"b": 10, "a": 1000, None: 10}) == {"a": 960.0, "b": 30, None: 30}
+
+
+def test_mix_of_many_sources_and_equal_rows(spark):
+    """2,000 sources; a third of all rows equal and without id: words still come near each target."""
+    rows = spark.range(12_000).selectExpr("if(id % 3 = 0, null, id) AS doc_id", "if(id % 3 = 0, 'same text here', concat('w', id, ' x', if(id % 2 = 0, ' y z', ''))) AS text", "if(id % 3 = 0, 's', concat('t', id % 2000)) AS source")
+    got = mixing.mix(rows)
+    hot = got.filter("source = 's'").groupBy("copies").count().collect()
+    goal = got.filter("source = 's'").first()["target"]
+    assert got.count() == 12_000 and len(hot) == 2 and abs(sum(3 * r["copies"] * r["count"] for r in hot) - goal) <= 3
+    off = got.groupBy("source").agg(F.max(F.col("size")).alias("most"), F.abs(F.sum("taken") - F.first("target")).alias("off"))
+    assert off.filter("off > most + 1e-6").isEmpty() and got.filter("taken > 3 * size").isEmpty()
+    again = mixing.mix(rows.repartition(3))
+    assert got.select("doc_id", "source", "taken").exceptAll(again.select("doc_id", "source", "taken")).isEmpty()
 
 
 def test_mix_reruns_agree(spark):

@@ -7,9 +7,10 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
-from basketry.llm import mixing, quality
+from basketry.llm import quality
 from basketry.llm.common import staged, table
 from basketry.llm.queries import TOKENIZER
+from tests.llm.test_operators import share_out
 
 SF = "/root/testdata/sf0.001"
 STAGES = dict(corpus_pipeline.STAGES)
@@ -82,7 +83,7 @@ def test_mixing_repeats_whole_documents(outputs):
     for i, r in docs.items():
         by[r["source"]] += size[i]
         words[r["source"]] += size[i] * taken[i]
-    for source, goal in mixing.share_out(dict(by)).items():
+    for source, goal in share_out(dict(by)).items():
         most = max(size[i] for i, r in docs.items() if r["source"] == source)
         assert abs(words[source] - goal) <= most
 
