@@ -32,6 +32,8 @@ _SPACED = re.compile(r"(?<![^\W_])(?:[^\W\d_][ .\-_*]){3,}[^\W\d_](?![^\W_])")
 _EDGES = "".join(sorted(set(string.punctuation) - set("$@|"))) + "…«»“”‘’–—¡¿"
 #: Beginnings of words that may become lexicon entries have so many letters.
 STEMS = range(3, 9)
+#: Terms that a task gathers before it hands on their counts.
+GATHER = 100_000
 #: Occurrences of a term that count within one document.
 REPEATS = 3
 #: Common English insults and swear words, and their plurals: entries from the start, however few documents are labelled.
@@ -223,11 +225,25 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_class: i
         return Lexicon()
     (n_toxic, toxic_words), (n_clean, clean_words) = n[1], n.get(0, (0, 0))
 
-    @F.pandas_udf("array<struct<term:string,n:int>>")
-    def terms(texts: pd.Series) -> pd.Series:
-        return pd.Series([[{"term": t, "n": c} for t, c in _terms(x)] for x in texts])
+    def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        found: dict[str, list[int]] = {}
 
-    counts = sample.select("y", F.explode(terms("t")).alias("x")).groupBy("x.term").agg(F.sum(F.col("y") * F.col("x.n")).alias("a"), F.sum((1 - F.col("y")) * F.col("x.n")).alias("b"), F.sum("y").alias("docs"))
+        def flush() -> pd.DataFrame:
+            out = pd.DataFrame({"term": [*found], **{c: [x[i] for x in found.values()] for i, c in enumerate(("a", "b", "docs"))}})
+            found.clear()
+            return out.astype({"term": object})
+
+        for pdf in batches:
+            for text, y in zip(pdf["t"], pdf["y"]):
+                for term, n in _terms(text):
+                    sums = found.setdefault(term, [0, 0, 0])
+                    sums[0 if y else 1] += n
+                    sums[2] += y
+                if len(found) >= GATHER:
+                    yield flush()
+        yield flush()
+
+    counts = sample.select("t", "y").mapInPandas(counted, "term string, a long, b long, docs long").groupBy("term").agg(*(F.sum(c).alias(c) for c in ("a", "b", "docs")))
     a, b = F.col("a"), F.col("b")
     fair = (a + b) * F.lit(toxic_words / max(1, toxic_words + clean_words))
     gain = a * F.log(a / fair) + F.when(b > 0, b * F.log(b / (a + b - fair))).otherwise(0.0)
