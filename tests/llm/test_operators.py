@@ -196,6 +196,49 @@ def test_passages_that_recur_in_a_text(spark):
     assert got == [(0, 0, 60, 2), (0, 130, 190, 2), (1, 0, 60, 2)]
 
 
+def _linked_pairs(spark, pairs_of, between, alter, seed=1):
+    """How many of ``pairs_of`` pairs that share a passage of 120 words have it in one class, with ``between`` texts
+    that hold it with a word changed every 17; ``alter`` changes the passage of the second one."""
+    rng, texts, at = np.random.default_rng(seed), [], []
+    for g in range(pairs_of):
+        for kind in ["first", *["other"] * between, "second"]:
+            i, words, start = len(texts), [f"p{g}_{k}" for k in range(120)], int(rng.integers(5, 60))
+            if kind == "other":
+                for k in range(int(rng.integers(17)), 120, 17):
+                    words[k] = f"c{i}_{k}"
+            else:
+                at.append((i, start))
+            words = alter(words, rng) if kind == "second" else words
+            texts.append(" ".join([*(f"a{i}_{k}" for k in range(start)), *words, *(f"z{i}_{k}" for k in range(20))]))
+    rows = substring_dedup.repeated_passages(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    classes = [{r["class_id"] for r in rows if r["doc_id"] == i and r["start_word"] <= a + 40 and r["end_word"] >= a + 80} for i, a in at]
+    assert all(any(r["doc_id"] == i for i, _ in at) or between for r in rows)
+    return sum(bool(x & y) for x, y in zip(classes[::2], classes[1::2]))
+
+
+@pytest.mark.parametrize("between", [0, 3, 10, 30])
+def test_passages_among_texts_that_share_less(spark, between):
+    assert _linked_pairs(spark, 40, between, lambda words, rng: words) == 40
+
+
+def test_near_passages(spark):
+    """Of passages of 120 words with two words changed (shingle similarity 0.84), 0.95 are found; such
+    with a word changed every 9, which have a similarity of about 0.3, are not."""
+
+    def few(words, rng):
+        for k in (30, 80):
+            words[k + int(rng.integers(9))] = f"n{rng.integers(10**9)}"
+        return words
+
+    def many(words, rng):
+        for k in range(4, 120, 9):
+            words[k] = f"n{rng.integers(10**9)}"
+        return words
+
+    assert _linked_pairs(spark, 60, 0, few) >= 57
+    assert _linked_pairs(spark, 60, 0, many) == 0
+
+
 def test_windows_of_a_repetition_are_few():
     tokens = np.concatenate([np.arange(100), np.tile(np.arange(200, 207), 3000), np.arange(300, 400)]).astype(np.uint64)
     odd_, flip = substring_dedup._functions(4, 1)
