@@ -118,6 +118,10 @@ def test_pattern_text(spark, tmp_path):
     patterns.write_patterns(result.lines(), path)
     assert found(patterns.read_patterns(spark, path)) == GOLDEN
     assert patterns.read_transaction_count(spark, path) == 9
+    many = spark.createDataFrame([(1, f"{i} (3)") for i in (10, 9, 2, 100)] + [(2, "10 11 (2)"), (2, "2 30 (2)"), (0, "(5)")], "level int, line string")
+    patterns.write_patterns(many, path)
+    written = sorted((tmp_path / "patterns").glob("part-*"))
+    assert [x for f in written for x in f.read_text().splitlines()] == ["(5)", "2 (3)", "9 (3)", "10 (3)", "100 (3)", "2 30 (2)", "10 11 (2)"]
 
 
 @pytest.mark.parametrize("width", [4, 8])
