@@ -19,6 +19,8 @@ BLOCK = 128
 WEIGHT = 1 << 16
 #: Shingles hashed at a time: arrays that stay in the processor's cache.
 CHUNK = 1 << 16
+#: Texts that a task signs at a time.
+ROWS = 500
 #: Bytes of a label for each minimum hash.
 STEP = 2
 
@@ -140,12 +142,19 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, size: int = 5, tree
     return _classes(docs, threshold, size, trees, depth, recall, text, doc_id).drop("root", "single")
 
 
+def _cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The batches in pieces of ROWS rows, so that what is made of one piece is gone before the next."""
+    for pdf in batches:
+        for first in range(0, len(pdf), ROWS):
+            yield pdf.iloc[first : first + ROWS]
+
+
 def _labelled(docs: DataFrame, size: int, trees: int, depth: int) -> DataFrame:
     """(rid, doc_id, md5, n_words, labels) of ``docs`` (doc_id, text); no labels for a text without words."""
     hashed = keyed(docs).select(F.col("_rid").alias("rid"), "doc_id", F.unhex(F.md5(F.col("text").cast("binary"))).alias("md5"), word_hashes(F.col("text")).alias("w"))
 
     def sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
+        for pdf in _cut(batches):
             sets = [shingles(w, size) for w in pdf["w"]]
             made = iter(forest_labels([s for s in sets if len(s)], trees, depth))
             yield pdf[["rid", "doc_id", "md5"]].assign(n_words=[len(w) for w in pdf["w"]], labels=[next(made) if len(s) else None for s in sets])
@@ -268,7 +277,7 @@ def _classes(docs: DataFrame, threshold: float = 0.8, size: int = 5, trees: int
     pool = pool.groupBy("md5").agg(F.first("text").alias("text")).join(candidates, "md5").select("rid", "copies", "block", word_hashes(F.col("text")).alias("w"))
 
     def distinct(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
+        for pdf in _cut(batches):
             yield pdf[["rid", "copies", "block"]].assign(shingles=[np.unique(shingles(w, size)).tobytes() for w in pdf["w"]])
 
     sets = staged(pool.mapInPandas(distinct, "rid long, copies long, block long, shingles binary"), "sets")
