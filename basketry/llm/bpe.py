@@ -16,6 +16,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from basketry.llm.common import lean
+
 #: Fixed value: how byte-level BPE splits a text into pieces.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Pieces in each of the two generations that a worker remembers.
@@ -162,6 +164,11 @@ class ForcedBoundaryBPE:
             parts.append(np.array([self.added[part]], "<u4").tobytes() if k % 2 else b"".join(map(find, self.split(part))))
         return b"".join(parts)
 
+    def forget(self) -> None:
+        """Drop the pieces remembered, which hold far more memory than the vocabulary."""
+        self.memo.clear()
+        self.memo.old = {}
+
     def decode(self, ids: bytes) -> str:
         return b"".join(map(self.tokens.__getitem__, np.frombuffer(ids, "<u4").tolist())).decode("utf-8", "replace")
 
@@ -218,6 +225,7 @@ def bpe_digests(docs: DataFrame, path: str, text: str = "text", doc_id: str = "d
                 coded.append(sha(ids))
                 plain.append(sha(bpe.decode(ids).encode()))
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "n_tokens": counts, "ids_sha256": coded, "decoded_sha256": plain})
+        bpe.forget()
 
     kind = dict(docs.dtypes)[doc_id]
-    return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInPandas(run, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInPandas(lean(run), f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from functools import wraps
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from basketry.session import shared_dir, staged, table
 
-__all__ = ["attach_groups", "held_out", "hot_limit", "keyed", "labelled_sample", "release", "shared_dir", "sheltered", "staged", "table", "words"]
+__all__ = ["attach_groups", "held_out", "hot_limit", "keyed", "labelled_sample", "lean", "release", "shared_dir", "sheltered", "staged", "table", "words"]
 
 #: ASCII white space; all else belongs to words.
 SPACE = "[\\x20\\x09-\\x0D]+"
@@ -36,6 +38,22 @@ def release() -> None:
         SparkContext._active_spark_context._jvm.System.gc()
 
 
+def lean(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """For functions over batches: at the end of a task its worker, which Spark keeps for others, gives freed memory back."""
+
+    @wraps(run)
+    def task(batches: Iterator) -> Iterator:
+        try:
+            yield from run(batches)
+        finally:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # of the GNU C library
+                trim(0)
+
+    return task
+
+
 def keyed(df: DataFrame) -> DataFrame:
     """Adds ``_rid``, unique per row; stable once the result is staged."""
     return df.withColumn("_rid", F.monotonically_increasing_id())

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from basketry.llm.bloom import may_repeat, members
-from basketry.llm.common import attach_groups, keyed, release, sheltered, staged, words
+from basketry.llm.common import attach_groups, keyed, lean, release, sheltered, staged, words
 from basketry.llm.components import components
 
 #: Texts of a block, and their shingles, at most; a longer text is a block by itself. Two blocks are compared in one task.
@@ -159,7 +159,7 @@ def _labelled(docs: DataFrame, size: int, trees: int, depth: int) -> DataFrame:
             made = iter(forest_labels([s for s in sets if len(s)], trees, depth))
             yield pdf[["rid", "doc_id", "md5"]].assign(n_words=[len(w) for w in pdf["w"]], labels=[next(made) if len(s) else None for s in sets])
 
-    return hashed.mapInPandas(sign, "rid long, doc_id long, md5 binary, n_words long, labels binary")
+    return hashed.mapInPandas(lean(sign), "rid long, doc_id long, md5 binary, n_words long, labels binary")
 
 
 def _blocks(met: DataFrame, groups: DataFrame) -> DataFrame:
@@ -280,7 +280,7 @@ def _classes(docs: DataFrame, threshold: float = 0.8, size: int = 5, trees: int
         for pdf in _cut(batches):
             yield pdf[["rid", "copies", "block"]].assign(shingles=[np.unique(shingles(w, size)).tobytes() for w in pdf["w"]])
 
-    sets = staged(pool.mapInPandas(distinct, "rid long, copies long, block long, shingles binary"), "sets")
+    sets = staged(pool.mapInPandas(lean(distinct), "rid long, copies long, block long, shingles binary"), "sets")
     links = _links(met, sets, threshold, trees, depth, floor, recall)
     classes = components(links.filter("rid <> low").select(F.col("rid").alias("u"), F.col("low").alias("v")))
     counts = links.groupBy("rid").agg(F.sum("texts").alias("texts"), F.sum("others").alias("others"))

@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from basketry.llm.common import held_out, labelled_sample, sheltered
+from basketry.llm.common import held_out, labelled_sample, lean, sheltered
 
 FEATURES = [
     "log_words", "word_length", "upper", "digits", "symbols", "exclaims", "stops", "wide", "distinct_words",
@@ -163,7 +163,7 @@ def _features(df: DataFrame, keep: list[str], text: str) -> DataFrame:
         for pdf in batches:
             yield pdf[keep].assign(x=[text_features(t) for t in pdf[text]])
 
-    return df.select(*keep, text).mapInPandas(run, ", ".join([*(f"`{c}` {kinds[c]}" for c in keep), "x array<double>"]))
+    return df.select(*keep, text).mapInPandas(lean(run), ", ".join([*(f"`{c}` {kinds[c]}" for c in keep), "x array<double>"]))
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "quality", per_class: int = 8000, text: str = "text") -> AdditiveModel:

@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from basketry.llm.common import held_out, labelled_sample, staged
+from basketry.llm.common import held_out, labelled_sample, lean, staged
 
 # Letters of other scripts that look like Latin ones, and signs that stand for letters within a word.
 LOOKALIKES = {
@@ -218,7 +218,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_class: i
 
     # one text an id, so that the sample stays as small as its ids are few; and each text once, as words of a text that
     # many documents share would look telling
-    sample = sample.groupBy("doc_id", "y").agg(F.min("text").alias("text")).mapInPandas(folded, "doc_id long, y int, t string")
+    sample = sample.groupBy("doc_id", "y").agg(F.min("text").alias("text")).mapInPandas(lean(folded), "doc_id long, y int, t string")
     sample = staged(sample.groupBy("t").agg(F.min("doc_id").alias("doc_id"), F.max("y").alias("y")).withColumn("n_words", F.size(F.split(F.substring_index("t", "\n", 1), " ")) - 2), "sample")
     n = {r["y"]: (r["n"], r["w"]) for r in sample.groupBy("y").agg(F.count(F.lit(1)).alias("n"), F.sum("n_words").alias("w")).collect()}
     if 1 not in n:
@@ -243,7 +243,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_class: i
                     yield flush()
         yield flush()
 
-    counts = sample.select("t", "y").mapInPandas(counted, "term string, a long, b long, docs long").groupBy("term").agg(*(F.sum(c).alias(c) for c in ("a", "b", "docs")))
+    counts = sample.select("t", "y").mapInPandas(lean(counted), "term string, a long, b long, docs long").groupBy("term").agg(*(F.sum(c).alias(c) for c in ("a", "b", "docs")))
     a, b = F.col("a"), F.col("b")
     fair = (a + b) * F.lit(toxic_words / max(1, toxic_words + clean_words))
     gain = a * F.log(a / fair) + F.when(b > 0, b * F.log(b / (a + b - fair))).otherwise(0.0)
