@@ -20,11 +20,13 @@ def prefix_join(level: DataFrame) -> DataFrame:
 def subset_check(candidates: DataFrame, level: DataFrame) -> DataFrame:
     """Candidates of which every (k-1)-subset is in ``level``.
 
-    The two subsets that made the candidate hold already; the rest are looked up by a join on the subset.
+    The two subsets that made the candidate, those without one of its last two items, hold already; the rest are
+    looked up by a join on the subset.
     """
-    exploded = candidates.select("items", F.explode(one_smaller(F.col("items"))).alias("sub"))
+    others = F.slice(one_smaller(F.col("items")), F.lit(1), F.size("items") - 2)
+    exploded = candidates.select("items", F.explode(others).alias("sub"))
     found = exploded.join(level.select(F.col("items").alias("sub")), "sub", "left_semi")
-    return found.groupBy("items").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") == F.size("items")).select("items")
+    return found.groupBy("items").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") == F.size("items") - 2).select("items")
 
 
 def dead_ends(level: DataFrame, candidates: DataFrame) -> DataFrame:
@@ -36,3 +38,9 @@ def node_count(candidates: DataFrame) -> DataFrame:
     """(n_nodes): the nodes a prefix tree over the candidates would have."""
     heads = candidates.select(F.explode(F.transform(F.sequence(F.lit(1), F.size("items")), lambda j: F.slice("items", F.lit(1), j))).alias("head"))
     return heads.distinct().agg(F.count(F.lit(1)).alias("n_nodes"))
+
+
+def nodes_at(candidates: DataFrame, depth: int) -> DataFrame:
+    """(n_nodes) of the same tree at one depth, 2 being that of pairs."""
+    heads = candidates.filter(F.size("items") >= depth).select(F.slice("items", 1, depth).alias("head"))
+    return heads.distinct().agg(F.count(F.lit(1)).alias("n_nodes"))

@@ -1,46 +1,86 @@
 """Support counting: three strategies that must agree.
 
-* ``horizontal`` keeps (tid, candidate) occurrences in the JVM: a basket array is exploded into the candidates that
-  extend a frequent prefix. Best for sparse items.
+* ``horizontal`` keeps (tid, candidate) occurrences in the JVM: baskets are exploded into the item pairs that start a
+  candidate. Best for sparse items and short baskets.
 * ``bitmap`` ANDs Spark's own bitmaps per (candidate, stripe, bucket). Best for dense items in pure Catalyst.
-* ``arrow`` ANDs NumPy bit rows per stripe of transactions, candidates in broadcast batches of a fixed size.
+* ``arrow`` ANDs NumPy bit rows per (block of candidates, stripe of transactions); blocks hold a fixed number of
+  candidates that are neighbours in order, and meet the rows of their own items only.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from basketry.operators.encode import vertical_bitmaps
+from basketry.session import checkpoint
+
+#: Candidates in a block of ``arrow``: a task holds the 4 KB rows of at most this many items and their prefixes.
+BATCH = 25_000
+#: Baskets with more items than this are split for the pair join.
+LONG = 2_048
+#: Rows ANDed at once within a task: 8 MB.
+_CHUNK = 2_048
+
+
+@dataclass(frozen=True)
+class Profile:
+    """``longest``: items of the longest basket; ``pairs``: item pairs in all baskets; ``n_tids``: baskets."""
+
+    longest: int
+    pairs: int
+    n_tids: int
+
+
+def profile(baskets: DataFrame) -> Profile:
+    sizes = baskets.groupBy("tid").agg(F.count(F.lit(1)).alias("n"))
+    row = sizes.agg(F.max("n"), F.sum(F.expr("n * (n - 1) div 2")), F.count(F.lit(1))).first()
+    return Profile(row[0] or 0, row[1] or 0, row[2])
 
-#: Candidates sent to the executors at once by ``arrow``: at 15 items each this is under 10 MB.
-BATCH = 100_000
-#: Transactions in a stripe of ``arrow``: a bit row takes 8 KB.
-STRIPE = 65_536
 
+def pair_support(baskets: DataFrame, min_sup: int = 1, longest: int | None = None) -> DataFrame:
+    """(items, support) of all item pairs by an equi-join on the transaction.
 
-def pair_support(baskets: DataFrame, min_sup: int = 1) -> DataFrame:
-    """(items, support) of all item pairs by an equi-join on the transaction."""
-    a, b = baskets.alias("a"), baskets.alias("b")
-    joined = a.join(b, (F.col("a.tid") == F.col("b.tid")) & (F.col("a.item") < F.col("b.item")))
-    counted = joined.groupBy(F.col("a.item").alias("i"), F.col("b.item").alias("j")).agg(F.count(F.lit(1)).alias("support"))
+    A basket of more than ``LONG`` items (``longest`` is looked up where it isn't given) is dealt into parts by item,
+    and each part joined with the whole basket, so that no task makes all pairs of one basket.
+    """
+    if longest is None:
+        longest = profile(baskets).longest
+    if longest <= LONG:
+        left, right, on = baskets, baskets, ["tid"]
+    else:
+        parts = baskets.groupBy("tid").agg(F.ceil(F.count(F.lit(1)) / LONG).cast("int").alias("parts"))
+        sized = baskets.join(parts, "tid")
+        left = sized.withColumn("part", F.pmod(F.hash("item"), "parts"))
+        right = sized.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+        on = ["tid", "part"]
+    joined = left.select(*on, F.col("item").alias("i")).join(right.select(*on, F.col("item").alias("j")), on).filter("i < j")
+    counted = joined.groupBy("i", "j").agg(F.count(F.lit(1)).alias("support"))
     return counted.filter(F.col("support") >= min_sup).select(F.array("i", "j").alias("items"), "support")
 
 
+def pair_support_bitmap(baskets: DataFrame, min_sup: int = 1) -> DataFrame:
+    """(items, support) of all item pairs by ANDs of bit rows: for few, dense items."""
+    from basketry.operators.candidates import prefix_join
+
+    singles = baskets.select(F.array("item").alias("items")).distinct()
+    return count_arrow(baskets, checkpoint(prefix_join(singles))).filter(F.col("support") >= min_sup)
+
+
 def count_horizontal(baskets: DataFrame, candidates: DataFrame) -> DataFrame:
     """(items, support) of the candidates with support of 1 or more.
 
     Candidates join on their first two items, the rarest join key a basket offers cheaply, and one containment test
     per (basket, candidate) replaces a count of matches.
     """
-    arrays = baskets.groupBy("tid").agg(F.array_sort(F.collect_list("item")).alias("basket"))
-    heads = arrays.select(
-        "basket",
-        F.explode(F.flatten(F.transform("basket", lambda x: F.transform(F.filter("basket", lambda y: y > x), lambda y: F.struct(x.alias("x"), y.alias("y")))))).alias("h"),
-    ).select("basket", F.col("h.x").alias("x"), F.col("h.y").alias("y"))
     wanted = candidates.select("items", F.element_at("items", 1).alias("x"), F.element_at("items", 2).alias("y"))
+    arrays = baskets.groupBy("tid").agg(F.array_sort(F.collect_list("item")).alias("basket"))
+    starts = arrays.select("basket", F.posexplode("basket").alias("at", "x")).join(wanted.select("x").distinct(), "x", "left_semi")
+    heads = starts.select("basket", "x", F.explode(F.expr("slice(basket, at + 2, size(basket))")).alias("y"))
     hit = heads.join(wanted, ["x", "y"]).filter(F.size(F.array_except("items", "basket")) == 0)
     return hit.groupBy("items").agg(F.count(F.lit(1)).alias("support"))
 
@@ -55,64 +95,60 @@ def count_bitmap(baskets: DataFrame, candidates: DataFrame, stripes: int = 8) ->
     return anded.filter(F.col("n") == F.size("items")).groupBy("items").agg(F.sum("ones").alias("support")).filter("support > 0")
 
 
-def bit_rows(baskets: DataFrame, stripe: int = STRIPE, tid: str = "tid") -> DataFrame:
-    """(stripe, item, tids): the transaction offsets of an item within a stripe, at most ``stripe`` of them."""
-    return baskets.groupBy(F.expr(f"{tid} div {stripe}").alias("stripe"), "item").agg(F.collect_list(F.expr(f"cast({tid} % {stripe} as int)")).alias("tids"))
+def bit_rows(baskets: DataFrame, tid: str = "tid") -> DataFrame:
+    """(item, stripe, bits): 4 KB of bits for each stripe of 32,768 transactions that an item is in."""
+    stripe, bits = F.expr(f"bitmap_bucket_number({tid})"), F.expr(f"bitmap_construct_agg(bitmap_bit_position({tid}))")
+    return baskets.groupBy("item", stripe.alias("stripe")).agg(bits.alias("bits"))
 
 
 def count_arrow(baskets: DataFrame, candidates: DataFrame, rows: DataFrame | None = None, batch: int = BATCH) -> DataFrame:
-    """(items, support) by NumPy ANDs; a prefix shared by neighbouring candidates is ANDed once.
+    """(items, support) of the candidates, of any lengths, with support of 1 or more, by NumPy ANDs.
 
-    The candidates go to the executors in batches of a fixed number; supports are summed by Spark.
+    Candidates are dealt by range into blocks of about ``batch``; each (block, stripe) is one group that gets the
+    block's candidates and the rows of its items. A prefix shared by neighbours is ANDed once. Nothing but the number
+    and longest of the candidates reaches the driver.
     """
     rows = bit_rows(baskets) if rows is None else rows
-    spark = baskets.sparkSession
-    out = None
-    pending: list[tuple[int, ...]] = []
-    source = candidates.select("items").sort("items").toLocalIterator(prefetchPartitions=True)
-
-    def counted(sets: list[tuple[int, ...]]) -> DataFrame:
-        shared = spark.sparkContext.broadcast(np.asarray(sets, dtype=np.int32))
-
-        def stripe_supports(pdf: pd.DataFrame) -> pd.DataFrame:
-            packed = {}
-            for item, tids in zip(pdf["item"], pdf["tids"]):
-                bits = np.zeros(STRIPE, dtype=np.uint8)
-                bits[np.asarray(tids)] = 1
-                packed[int(item)] = np.packbits(bits).view(np.uint64)
-            ids, sups = [], []
-            head, head_row = None, None
-            for no, items in enumerate(shared.value.tolist()):
-                if items[:-1] != head:
-                    head, head_row = items[:-1], packed.get(items[0])
-                    for x in head[1:]:
-                        other = packed.get(x)
-                        head_row = None if head_row is None or other is None else head_row & other
-                other = packed.get(items[-1])
-                if head_row is not None and other is not None and (n := int(np.bitwise_count(head_row & other).sum())):
-                    ids.append(no)
-                    sups.append(n)
-            return pd.DataFrame({"no": np.array(ids, dtype=np.int64), "part": np.array(sups, dtype=np.int64)})
-
-        sums = rows.groupBy("stripe").applyInPandas(stripe_supports, "no long, part long").groupBy("no").agg(F.sum("part").alias("support"))
-        names = spark.createDataFrame(pd.DataFrame({"no": range(len(sets)), "items": [list(s) for s in sets]}), "no long, items array<int>")
-        return sums.join(names, "no").select("items", "support")
-
-    for row in source:
-        pending.append(tuple(row["items"]))
-        if len(pending) == batch:
-            out, pending = (counted(pending) if out is None else out.unionByName(counted(pending))), []
-    if pending or out is None:
-        part = counted(pending) if pending else spark.createDataFrame([], "items array<int>, support long")
-        out = part if out is None else out.unionByName(part)
-    return out
+    n, longest = candidates.agg(F.count(F.lit(1)), F.max(F.size("items"))).first()
+    if not n:
+        return baskets.sparkSession.createDataFrame([], "items array<int>, support long")
+    width = max(2, longest)
+    # ANDing the last item again changes nothing, so that all sets of a block have one length
+    padded = F.concat("items", F.array_repeat(F.element_at("items", -1), F.lit(width) - F.size("items")))
+    dealt = candidates.select("items", padded.alias("padded")).repartitionByRange(-(-n // batch), "padded", "items").withColumn("block", F.spark_partition_id())
+    blocks = checkpoint(dealt.withColumn("no", F.row_number().over(Window.partitionBy("block").orderBy("padded", "items")) - 1))
+    needed = blocks.select("block", F.explode("items").alias("item")).distinct()
+    pieces = rows.join(needed, "item").select("block", "stripe", "item", "bits")
+    flat = F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("no", "padded"))), lambda s: s["padded"]))
+    per_block = blocks.groupBy("block").agg(flat.alias("flat"))
+    sets = pieces.select("block", "stripe").distinct().join(per_block, "block").toDF("of_block", "of_stripe", "flat")
+
+    def part_supports(key, found: pd.DataFrame, wanted: pd.DataFrame) -> pd.DataFrame:
+        members = np.asarray(wanted["flat"].iloc[0], dtype=np.int32).reshape(-1, width)
+        bits = np.frombuffer(b"".join(found["bits"]), np.uint64).reshape(len(found), -1)
+        ids = found["item"].to_numpy()
+        order = np.argsort(ids)
+        at = order[np.minimum(np.searchsorted(ids, members, sorter=order), len(ids) - 1)]
+        nos = np.flatnonzero((ids[at] == members).all(axis=1))  # a set with an item that the stripe lacks is in no basket of it
+        at = at[nos]
+        sums = np.zeros(len(nos), dtype=np.int64)
+        bounds = np.flatnonzero((at[1:, :-1] != at[:-1, :-1]).any(axis=1)) + 1
+        for start, stop in zip([0, *bounds], [*bounds, len(nos)]):
+            if start == stop:
+                continue
+            head = np.bitwise_and.reduce(bits[at[start, :-1]], axis=0)
+            for low in range(start, stop, _CHUNK):
+                high = min(stop, low + _CHUNK)
+                sums[low:high] = np.bitwise_count(bits[at[low:high, -1]] & head).sum(axis=1)
+        some = sums > 0
+        return pd.DataFrame({"block": np.int32(key[0]), "no": nos[some].astype(np.int32), "part": sums[some]})
+
+    counted = pieces.groupBy("block", "stripe").cogroup(sets.groupBy("of_block", "of_stripe")).applyInPandas(part_supports, "block int, no int, part long")
+    sums = counted.groupBy("block", "no").agg(F.sum("part").alias("support"))
+    return blocks.select("block", "no", "items").join(sums, ["block", "no"]).select("items", "support")
 
 
 def supports_in(baskets: DataFrame, itemsets: DataFrame) -> DataFrame:
-    """(items, support) of given sets of any length, 0 included. Singles and longer sets are counted apart."""
-    singles = itemsets.filter(F.size("items") == 1)
-    arrays = singles.select("items", F.element_at("items", 1).alias("item")).join(baskets, "item").groupBy("items").agg(F.count(F.lit(1)).alias("support"))
-    longer = count_horizontal(baskets, itemsets.filter(F.size("items") > 1))
-    found = arrays.unionByName(longer)
+    """(items, support) of given sets of any length, 0 included."""
+    found = count_arrow(baskets, itemsets.select("items"))
     return itemsets.select("items").join(found, "items", "left").select("items", F.coalesce("support", F.lit(0).cast("long")).alias("support"))
-

@@ -9,17 +9,18 @@ from pyspark.sql import functions as F
 
 from basketry.functions.thresholds import absolute_support, check_lossless
 from basketry.operators import counting, encode
+from basketry.session import checkpoint
 
 
 def only_in_new(l_old: DataFrame, l_new: DataFrame, old: DataFrame) -> DataFrame:
     """(items, support_new, support_old): sets frequent in the increment alone, counted in the old baskets."""
-    lone = l_new.join(l_old.select("items"), "items", "left_anti").withColumnRenamed("support", "support_new")
+    lone = checkpoint(l_new.join(l_old.select("items"), "items", "left_anti").withColumnRenamed("support", "support_new"))
     return lone.join(counting.supports_in(old, lone).withColumnRenamed("support", "support_old"), "items")
 
 
 def only_in_old(l_old: DataFrame, l_new: DataFrame, new: DataFrame) -> DataFrame:
     """(items, support_old, support_new): sets frequent in the old baskets alone, counted in the increment."""
-    lone = l_old.join(l_new.select("items"), "items", "left_anti").withColumnRenamed("support", "support_old")
+    lone = checkpoint(l_old.join(l_new.select("items"), "items", "left_anti").withColumnRenamed("support", "support_old"))
     return lone.join(counting.supports_in(new, lone).withColumnRenamed("support", "support_new"), "items")
 
 

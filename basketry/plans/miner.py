@@ -15,7 +15,8 @@ from basketry.functions.itemsets import itemset_text, pattern_line
 from basketry.functions.thresholds import absolute_support
 from basketry.operators import counting, encode
 from basketry.operators.candidates import node_count, prefix_join, subset_check
-from basketry.session import checkpoint
+from basketry.session import checkpoint, staged
+from basketry.sources.patterns import write_patterns
 
 STRATEGIES = ("auto", "horizontal", "bitmap", "arrow")
 
@@ -47,14 +48,25 @@ class MiningResult:
             out = row.unionByName(out)
         return out
 
-    def lines(self, include_empty: bool = True) -> DataFrame:
-        """(level, line) in the text form of the pattern sink."""
-        sets = self.itemsets()
-        out = sets.select(F.size("items").alias("level"), pattern_line(F.col("items"), F.col("support")).alias("line"))
+    def lines(self, include_empty: bool = True, ranked: bool = False) -> DataFrame:
+        """(level, line) in the text form of the pattern sink; ``ranked`` adds ``ranks``, the items' support ranks, ascending."""
+        sets = self.ranked() if ranked else self.itemsets()
+        ranks = ["ranks"] if ranked else []
+        out = sets.select(F.size("items").alias("level"), pattern_line(F.col("items"), F.col("support")).alias("line"), *ranks)
         if include_empty:
-            out = sets.sparkSession.createDataFrame([(0, f"({self.n_tids})")], "level int, line string").unionByName(out)
+            row, schema = ((0, f"({self.n_tids})", []), "level int, line string, ranks array<int>") if ranked else ((0, f"({self.n_tids})"), "level int, line string")
+            out = sets.sparkSession.createDataFrame([row], schema).unionByName(out)
         return out
 
+    def ranked(self) -> DataFrame:
+        """(items, support, ranks): depth-first order of the patterns is that of the level and then of ``ranks``."""
+        sets = self.itemsets()
+        if not self.levels:
+            return sets.withColumn("ranks", F.col("items"))
+        ranks = encode.item_rank(self.levels[0].select(F.element_at("items", 1).alias("item"), "support")).select("item", "rank")
+        members = sets.select("items", "support", F.explode("items").alias("item")).join(ranks, "item")
+        return members.groupBy("items").agg(F.first("support").alias("support"), F.array_sort(F.collect_list("rank")).alias("ranks"))
+
     def level_stats(self) -> DataFrame:
         return self.empty.sparkSession.createDataFrame(self.stats, schemas.LEVEL_STATS)
 
@@ -63,17 +75,33 @@ class FrequentItemsetMiner:
     """Mines all itemsets with at least ``min_sup`` transactions (an int, or a share in (0, 1]).
 
     ``strategy`` picks how sets of three or more items are counted; pairs always use the join on the transaction.
-    ``auto`` is ``arrow``. ``max_len`` stops at that length.
+    ``auto`` compares, level by level, the item pairs in all baskets, which ``horizontal`` goes through, with the rows
+    that ``arrow`` ANDs. ``max_len`` stops at that length, ``batch`` bounds the candidates that a task of ``arrow``
+    holds, ``output`` is a folder for the patterns as text.
     """
 
-    def __init__(self, min_sup: int | float | str | Fraction, strategy: str = "auto", max_len: int | None = None, verbose: bool = False):
+    def __init__(self, min_sup: int | float | str | Fraction, strategy: str = "auto", max_len: int | None = None, verbose: bool = False, batch: int = counting.BATCH, output: str | None = None):
         if strategy not in STRATEGIES:
             raise ValueError(f"strategy must be one of {STRATEGIES}")
         if isinstance(min_sup, int) and min_sup < 1:
             raise ValueError("min_sup must be 1 or more")
-        self.min_sup, self.strategy, self.max_len, self.verbose = min_sup, strategy, max_len, verbose
+        if batch < 1:
+            raise ValueError("batch must be 1 or more")
+        self.min_sup, self.strategy, self.max_len, self.verbose, self.batch, self.output = min_sup, strategy, max_len, verbose, batch, output
 
     def mine(self, baskets: DataFrame) -> MiningResult:
+        result = self._mine(baskets)
+        if self.output:
+            write_patterns(result.lines(ranked=True), self.output)
+        return result
+
+    def _picked(self, shape: counting.Profile, n_candidates: int) -> str:
+        if self.strategy != "auto":
+            return self.strategy
+        ands = n_candidates * max(1, shape.n_tids // 32_768)
+        return "horizontal" if shape.longest <= counting.LONG and shape.pairs < ands else "arrow"
+
+    def _mine(self, baskets: DataFrame) -> MiningResult:
         baskets = checkpoint(encode.normalize(baskets))
         empty = baskets.sparkSession.createDataFrame([], schemas.PATTERNS)
         n_tids = encode.transaction_count(baskets)
@@ -82,7 +110,7 @@ class FrequentItemsetMiner:
         min_sup = absolute_support(self.min_sup, n_tids)
         levels: list[DataFrame] = []
         stats: list[tuple] = []
-        pruned, rows, k = None, None, 0
+        pruned, rows, shape, k = None, None, None, 0
         while self.max_len is None or k < self.max_len:
             k += 1
             t0 = time.perf_counter()
@@ -98,17 +126,18 @@ class FrequentItemsetMiner:
                 counted = encode.item_support(baskets).select(F.array("item").alias("items"), "support")
             elif k == 2:
                 keep = levels[0].select(F.element_at("items", 1).alias("item"))
-                pruned = checkpoint(baskets.join(keep, "item", "left_semi"))
-                counted = counting.pair_support(pruned, min_sup)
-            elif self.strategy == "horizontal":
+                pruned = staged(baskets.join(keep, "item", "left_semi"), "pruned")
+                shape = counting.profile(pruned)
+                counted = counting.pair_support(pruned, min_sup, shape.longest)
+            elif (picked := self._picked(shape, n_candidates)) == "horizontal":
                 counted = counting.count_horizontal(pruned, candidates)
-            elif self.strategy == "bitmap":
+            elif picked == "bitmap":
                 counted = counting.count_bitmap(pruned, candidates)
             else:
                 if rows is None:
                     dense = pruned.join(encode.dense_tids(pruned), "tid")
-                    rows = checkpoint(counting.bit_rows(dense, tid="tid_no"))
-                counted = counting.count_arrow(pruned, candidates, rows)
+                    rows = staged(counting.bit_rows(dense, tid="tid_no"), "rows")
+                counted = counting.count_arrow(pruned, candidates, rows, self.batch)
             level = checkpoint(counted.filter(F.col("support") >= min_sup).select(F.col("items").cast("array<int>").alias("items"), F.col("support").cast("long").alias("support")))
             t2 = time.perf_counter()
             left = level.count()

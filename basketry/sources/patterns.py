@@ -9,9 +9,10 @@ LINE = r"^(.*?)\s*\((\d+)\)$"
 
 
 def write_patterns(lines: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """``lines`` (level, line) as MiningResult.lines() gives them, by level and then by item numbers."""
+    """``lines`` (level, line) as MiningResult.lines() gives them: by level, then by ``ranks`` if there, else by item numbers."""
     items = F.filter(F.split(F.regexp_extract("line", LINE, 1), r"\s+"), lambda x: x != "").cast("array<int>")
-    lines.orderBy("level", items).select(F.col("line").alias("value")).write.mode(mode).text(path)
+    within = F.col("ranks") if "ranks" in lines.columns else items
+    lines.orderBy("level", within).select(F.col("line").alias("value")).write.mode(mode).text(path)
 
 
 def read_patterns(spark: SparkSession, path: str) -> DataFrame:
