@@ -29,17 +29,23 @@ _CHUNK = 2_048
 
 @dataclass(frozen=True)
 class Profile:
-    """``longest``: items of the longest basket; ``pairs``: item pairs in all baskets; ``n_tids``: baskets."""
+    """``longest``: items of the longest basket; ``pairs``: item pairs in all baskets; ``n_tids``: baskets; ``span``: from the first tid to the last."""
 
     longest: int
     pairs: int
     n_tids: int
+    span: int
+
+    @property
+    def sparse(self) -> bool:
+        """Most bits of bit rows over these tids would stand for none."""
+        return self.span > 4 * self.n_tids + 32_768
 
 
 def profile(baskets: DataFrame) -> Profile:
     sizes = baskets.groupBy("tid").agg(F.count(F.lit(1)).alias("n"))
-    row = sizes.agg(F.max("n"), F.sum(F.expr("n * (n - 1) div 2")), F.count(F.lit(1))).first()
-    return Profile(row[0] or 0, row[1] or 0, row[2])
+    row = sizes.agg(F.max("n"), F.sum(F.expr("n * (n - 1) div 2")), F.count(F.lit(1)), F.max("tid"), F.min("tid")).first()
+    return Profile(row[0] or 0, row[1] or 0, row[2], row[3] - row[4] + 1 if row[2] else 0)
 
 
 def pair_support(baskets: DataFrame, min_sup: int = 1, longest: int | None = None) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Level-wise mining: candidates from the last level, counting by a chosen strategy, one checkpoint a level."""
+"""Level-wise mining: candidates from the last level, counting by a chosen strategy, one table written a level."""
 
 from __future__ import annotations
 
@@ -15,7 +15,7 @@ from basketry.functions.itemsets import itemset_text, pattern_line
 from basketry.functions.thresholds import absolute_support
 from basketry.operators import counting, encode
 from basketry.operators.candidates import node_count, prefix_join, subset_check
-from basketry.session import checkpoint, staged
+from basketry.session import staged
 from basketry.sources.patterns import write_patterns
 
 STRATEGIES = ("auto", "horizontal", "bitmap", "arrow")
@@ -102,7 +102,7 @@ class FrequentItemsetMiner:
         return "horizontal" if shape.longest <= counting.LONG and shape.pairs < ands else "arrow"
 
     def _mine(self, baskets: DataFrame) -> MiningResult:
-        baskets = checkpoint(encode.normalize(baskets))
+        baskets = staged(encode.normalize(baskets), "baskets")
         empty = baskets.sparkSession.createDataFrame([], schemas.PATTERNS)
         n_tids = encode.transaction_count(baskets)
         if not n_tids:
@@ -116,7 +116,7 @@ class FrequentItemsetMiner:
             t0 = time.perf_counter()
             candidates, n_candidates, n_nodes = None, None, None
             if k > 2:
-                candidates = checkpoint(subset_check(prefix_join(levels[-1]), levels[-1]))
+                candidates = staged(subset_check(prefix_join(levels[-1]), levels[-1]), "candidates")
                 n_candidates = candidates.count()
                 if not n_candidates:
                     break
@@ -135,10 +135,10 @@ class FrequentItemsetMiner:
                 counted = counting.count_bitmap(pruned, candidates)
             else:
                 if rows is None:
-                    dense = pruned.join(encode.dense_tids(pruned), "tid")
-                    rows = staged(counting.bit_rows(dense, tid="tid_no"), "rows")
+                    made = counting.bit_rows(pruned.join(encode.dense_tids(pruned), "tid"), tid="tid_no") if shape.sparse else counting.bit_rows(pruned)
+                    rows = staged(made, "rows")
                 counted = counting.count_arrow(pruned, candidates, rows, self.batch)
-            level = checkpoint(counted.filter(F.col("support") >= min_sup).select(F.col("items").cast("array<int>").alias("items"), F.col("support").cast("long").alias("support")))
+            level = staged(counted.filter(F.col("support") >= min_sup).select(F.col("items").cast("array<int>").alias("items"), F.col("support").cast("long").alias("support")), "level")
             t2 = time.perf_counter()
             left = level.count()
             stats.append((k, n_candidates, n_nodes, left, t1 - t0, t2 - t1, time.perf_counter() - t2))
