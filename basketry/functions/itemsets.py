@@ -1,4 +1,4 @@
-"""Column functions on canonical (ascending) itemset arrays and on bit words."""
+"""Column functions on ascending itemset arrays and on bit words."""
 
 from __future__ import annotations
 
@@ -6,11 +6,6 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def canonical(items: Column) -> Column:
-    """Ascending by number, each item once."""
-    return F.array_sort(F.array_distinct(items))
-
-
 def prefix(items: Column) -> Column:
     """All items but the last."""
     return F.slice(items, F.lit(1), F.size(items) - 1)
@@ -38,12 +33,8 @@ def pattern_line(items: Column, support: Column) -> Column:
     return F.concat(F.when(F.size(items) > 0, F.concat(body, F.lit(" "))).otherwise(F.lit("")), F.lit("("), support.cast("string"), F.lit(")"))
 
 
-def popcount(word: Column) -> Column:
-    return F.bit_count(word).cast("long")
-
-
 def ceil_div(x: Column, y: int) -> Column:
-    return F.floor((x + (y - 1)) / F.lit(y)).cast("long")
+    return F.call_function("div", x + (y - 1), F.lit(y))
 
 
 def and_words(a: Column, b: Column) -> Column:

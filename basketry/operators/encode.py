@@ -38,15 +38,28 @@ def item_rank(supports: DataFrame) -> DataFrame:
     Ranks come from a range partitioning with offsets, so no single task sorts all items.
     """
     order = [F.col("support").desc(), F.col("item")]
-    return _numbered(supports.select("item", "support"), order, "rank").select(F.col("rank").cast("int").alias("rank"), "item", "support")
+    return numbered(supports.select("item", "support"), order, "rank").select(F.col("rank").cast("int").alias("rank"), "item", "support")
+
+
+def recode(baskets: DataFrame, ranks: DataFrame) -> DataFrame:
+    """(tid, item) with each item's rank in place of its id; items without a rank go."""
+    return baskets.join(ranks.select("item", "rank"), "item").select("tid", F.col("rank").alias("item"))
+
+
+def decode(itemsets: DataFrame, ranks: DataFrame) -> DataFrame:
+    """(items, support) over ranks back to ids, ascending."""
+    members = itemsets.select(F.col("items").alias("coded"), "support", F.explode("items").alias("rank")).join(ranks.select("item", "rank"), "rank")
+    found = members.groupBy("coded").agg(F.first("support").alias("support"), F.array_sort(F.collect_list("item")).alias("items"))
+    return found.select("items", "support")
 
 
 def dense_tids(baskets: DataFrame) -> DataFrame:
     """(tid, tid_no) with tid_no 0..n-1 in tid order: bitmaps over sparse keys would be mostly empty."""
-    return _numbered(baskets.select("tid").distinct(), [F.col("tid")], "tid_no")
+    return numbered(baskets.select("tid").distinct(), [F.col("tid")], "tid_no")
 
 
-def _numbered(df: DataFrame, order: list, name: str) -> DataFrame:
+def numbered(df: DataFrame, order: list, name: str) -> DataFrame:
+    """``df`` with ``name``, 0 for the first row in ``order``."""
     parts = checkpoint(df.repartitionByRange(*order).withColumn("_p", F.spark_partition_id()))
     sizes = parts.groupBy("_p").agg(F.count(F.lit(1)).alias("_n"))
     # one row a partition: bounded by the number of partitions

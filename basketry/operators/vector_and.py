@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from basketry.functions.itemsets import and_words, ceil_div, popcount_words
+
 
 def and_pair(words: DataFrame, left: int, right: int) -> DataFrame:
     """(word_idx, word) of two items of a vertical table; zero words are dropped."""
@@ -13,6 +17,46 @@ def and_pair(words: DataFrame, left: int, right: int) -> DataFrame:
     return a.join(b, "word_idx").select("word_idx", F.col("a").bitwiseAND(F.col("b")).alias("word")).filter("word <> 0")
 
 
+@dataclass
+class AndCalls:
+    """Calls of :func:`vector_and` that stored a vector, and that counted one."""
+
+    stored: int = 0
+    counted: int = 0
+
+
+def vector_and(words: DataFrame, left: int, right: int, stored: DataFrame | None = None, store: bool = True, count: bool = True, calls: AndCalls | None = None) -> tuple[DataFrame | None, int]:
+    """One AND with flags: (vector, ones), the vector None unless ``store``, the ones -1 unless ``count``.
+
+    ``right`` is an item of ``words`` or, where ``stored`` is given, the ``seg`` of an intermediate result there
+    (seg, word_idx, word).
+    """
+    other = words.withColumnRenamed("item", "seg") if stored is None else stored
+    a = words.filter(F.col("item") == left).select("word_idx", F.col("word").alias("a"))
+    b = other.filter(F.col("seg") == right).select("word_idx", F.col("word").alias("b"))
+    anded = a.join(b, "word_idx").select("word_idx", F.col("a").bitwiseAND(F.col("b")).alias("word")).filter("word <> 0")
+    ones = (anded.agg(F.sum(F.bit_count("word").cast("long"))).first()[0] or 0) if count else -1
+    if calls is not None:
+        calls.stored += store
+        calls.counted += count
+    return (anded if store else None), ones
+
+
+def array_and(arrays: DataFrame, left: int, right: int) -> DataFrame:
+    """(words, support) of two items of a table (item, words ARRAY<BIGINT>) with arrays of one length."""
+    both = arrays.agg(*(F.first(F.when(F.col("item") == item, F.col("words")), ignorenulls=True).alias(name) for item, name in ((left, "a"), (right, "b"))))
+    anded = both.dropna().select(and_words(F.col("a"), F.col("b")).alias("words"))
+    return anded.select("words", popcount_words(F.col("words")).alias("support"))
+
+
+def word_arrays(words: DataFrame, n_tids: int, bits: int = 16) -> DataFrame:
+    """(item, words): dense arrays of a vertical table, zeros where an item has no word."""
+    size = ceil_div(F.lit(n_tids).cast("long"), bits)
+    held = words.groupBy("item").agg(F.map_from_entries(F.collect_list(F.struct("word_idx", "word"))).alias("held"))
+    filled = F.transform(F.sequence(F.lit(0).cast("long"), size - 1), lambda i: F.coalesce(F.element_at("held", i), F.lit(0).cast("long")))
+    return held.select("item", filled.alias("words"))
+
+
 def popcount_by_item(words: DataFrame) -> DataFrame:
     return words.groupBy("item").agg(F.sum(F.bit_count("word").cast("long")).alias("support"))
 
@@ -37,6 +81,30 @@ def bounded_parents(parents: list[int], lengths: list[int], children: list[int])
     return out
 
 
+def bounded_and(words: DataFrame, parents: list[int], lengths: list[int], children: list[int], stored: DataFrame | None = None, begin: int = -1, store: bool = False) -> DataFrame:
+    """A batch of parents, each ANDed with its own children of ``words(item, word_idx, word)``.
+
+    With ``begin`` -1 a parent is an item of ``words``; otherwise it counts from segment ``begin`` of ``stored(seg,
+    word_idx, word)``, vectors that an earlier batch kept. Gives (parent, pos, child, support), or with ``store``
+    (seg, word_idx, word), the segments numbered in the order of the children.
+    """
+    if (begin < 0) != (stored is None):
+        raise ValueError("stored vectors and their beginning come together")
+    rows, at = [], 0
+    for parent, held in bounded_parents(parents, lengths, children):
+        rows += [(parent, parent + max(begin, 0), pos, child, at + pos) for pos, child in enumerate(held)]
+        at += len(held)
+    pairs = words.sparkSession.createDataFrame(rows, "parent int, left int, pos int, child int, seg int")
+    source = words.withColumnRenamed("item", "seg") if stored is None else stored
+    left = source.select(F.col("seg").alias("left"), "word_idx", F.col("word").alias("a"))
+    right = words.select(F.col("item").alias("child"), "word_idx", F.col("word").alias("b"))
+    hit = pairs.join(left, "left").join(right, ["child", "word_idx"]).withColumn("word", F.col("a").bitwiseAND(F.col("b"))).filter("word <> 0")
+    if store:
+        return hit.select("seg", "word_idx", "word")
+    counted = hit.groupBy("seg").agg(F.sum(F.bit_count("word").cast("long")).alias("support"))
+    return pairs.join(counted, "seg", "left").select("parent", "pos", "child", F.coalesce("support", F.lit(0).cast("long")).alias("support"))
+
+
 def segmented_and(words: DataFrame, pairs: DataFrame, store: bool = True) -> DataFrame:
     """Segment ANDs: ``words(side, seg, word_idx, word)`` with sides ``l`` and ``r``; ``pairs(parent, pos, child)``.
 

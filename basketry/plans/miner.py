@@ -77,7 +77,7 @@ class FrequentItemsetMiner:
     ``strategy`` picks how sets of three or more items are counted; pairs always use the join on the transaction.
     ``auto`` compares, level by level, the item pairs in all baskets, which ``horizontal`` goes through, with the rows
     that ``arrow`` ANDs. ``max_len`` stops at that length, ``batch`` bounds the candidates that a task of ``arrow``
-    holds, ``output`` is a folder for the patterns as text.
+    holds, ``output`` is a folder for the patterns as text. Baskets are (tid, item) or (tid, items ARRAY).
     """
 
     def __init__(self, min_sup: int | float | str | Fraction, strategy: str = "auto", max_len: int | None = None, verbose: bool = False, batch: int = counting.BATCH, output: str | None = None):
@@ -102,7 +102,7 @@ class FrequentItemsetMiner:
         return "horizontal" if shape.longest <= counting.LONG and shape.pairs < ands else "arrow"
 
     def _mine(self, baskets: DataFrame) -> MiningResult:
-        baskets = staged(encode.normalize(baskets), "baskets")
+        baskets = staged(encode.from_arrays(baskets) if "items" in baskets.columns else encode.normalize(baskets), "baskets")
         empty = baskets.sparkSession.createDataFrame([], schemas.PATTERNS)
         n_tids = encode.transaction_count(baskets)
         if not n_tids:

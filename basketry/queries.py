@@ -2,10 +2,8 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
+import uuid
 from fractions import Fraction
-from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,7 +15,8 @@ from basketry.operators import counting, encode, vector_and
 from basketry.plans import incremental
 from basketry.plans.miner import MiningResult, mine
 from basketry.session import shared_dir, staged, table
-from basketry.sources import vbitmap
+from basketry.sources import fimi, patterns, vbitmap
+from basketry.sources.keyed import KeyedStore
 
 #: Relative supports, as fractions so that Spark and SQL agree to the unit.
 ORDER_SUPP, ORDER_BRAND, CUST_BRAND, FUP = Fraction(1, 50_000), Fraction(27, 10000), Fraction(2, 5), Fraction(17, 1000)
@@ -186,15 +185,16 @@ def q19(spark, d):
     return merged.select(F.size("items").alias("level"), itemset_text(F.col("items")).alias("itemset"), "support")
 
 
+def _folder(spark, name: str) -> str:
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
 def q20(spark, d):
-    """Write the vertical file, read it back, and give the supports found in it."""
+    """Write vertical files from the executors, read them back, and give the supports found in them."""
     b = order_supp(spark, d)
     n = b.agg(F.max("tid")).first()[0] + 1
-    folder = Path(shared_dir(spark).removeprefix("file:"))
-    folder.mkdir(parents=True, exist_ok=True)
-    path = os.path.join(tempfile.mkdtemp(dir=folder), "order_supp.bin")
-    vbitmap.write_vbitmap(encode.vertical_words(b), n, path)
-    spark.dataSource.register(vbitmap.VBitmapDataSource)
+    path = _folder(spark, "order_supp")
+    vbitmap.write_vbitmaps(encode.vertical_words(b), n, path)
     return spark.read.format("vbitmap").load(path).select("item", "support")
 
 
@@ -203,6 +203,88 @@ def q21(spark, d):
     return cand.node_count(triples)
 
 
+def q22(spark, d):
+    """Pattern lines numbered in the order of the sink: by level, then depth-first by support rank."""
+    lines = mine(cust_brand(spark, d), Fraction(3, 5)).lines(ranked=True)
+    return encode.numbered(lines, [F.col("level"), F.col("ranks")], "seq").select("seq", "line")
+
+
+def q23(spark, d):
+    """Baskets as text, read back: the brands of each line."""
+    path = _folder(spark, "baskets")
+    fimi.write_fimi(cust_brand(spark, d), path)
+    return encode.item_support(fimi.read_fimi(spark, path))
+
+
+def q24(spark, d):
+    """Patterns as text, read back as a prior result."""
+    path = _folder(spark, "patterns")
+    mine(cust_brand(spark, d), Fraction(3, 5), output=path)
+    return _named(patterns.read_patterns(spark, path), "support")
+
+
+def _segments(spark, d) -> tuple[DataFrame, DataFrame]:
+    words = encode.vertical_words(order_supp(spark, d)).select(F.col("item").alias("seg"), "word_idx", "word")
+    both = words.select(F.lit("l").alias("side"), "*").unionByName(words.select(F.lit("r").alias("side"), "*"))
+    rows = [(p, k, c) for p, held in vector_and.bounded_parents([1, 3, 7], [2, 3, 1], [2, 5, 4, 6, 8, 9]) for k, c in enumerate(held)]
+    return both, spark.createDataFrame(rows, "parent int, pos int, child int")
+
+
+def q25(spark, d):
+    return vector_and.segmented_and(*_segments(spark, d))
+
+
+def q26(spark, d):
+    return vector_and.segmented_and(*_segments(spark, d), store=False)
+
+
+def q27(spark, d):
+    b = order_supp(spark, d)
+    arrays = vector_and.word_arrays(encode.vertical_words(b), b.agg(F.max("tid")).first()[0] + 1)
+    return vector_and.array_and(arrays, 1, 2).select("support", F.size("words").cast("long").alias("n_words"))
+
+
+def q28(spark, d):
+    return _named(counting.pair_support_bitmap(order_supp(spark, d)), "support")
+
+
+def q29(spark, d):
+    return _mined(spark, d).level_stats().filter("n_candidates is not null").select("level", "n_candidates")
+
+
+def q30(spark, d):
+    """Mined over ranks in place of item ids, and decoded."""
+    b = staged(cust_brand(spark, d), "cust_brand")
+    ranks = staged(encode.item_rank(encode.item_support(b)), "ranks")
+    return _named(encode.decode(mine(encode.recode(b, ranks), Fraction(3, 5)).itemsets(), ranks), "support")
+
+
+def q31(spark, d):
+    _, triples, _ = _level3(spark, d)
+    return cand.nodes_at(triples, 2)
+
+
+def q32(spark, d):
+    """Vectors of pairs kept by one batch, ANDed with further items by the next."""
+    words = staged(encode.vertical_words(order_supp(spark, d)), "words")
+    kept = vector_and.bounded_and(words, [1, 3], [2, 1], [2, 5, 4], store=True)
+    return vector_and.bounded_and(words, [0, 2], [2, 1], [7, 9, 8], stored=staged(kept, "kept"), begin=0)
+
+
+def q33(spark, d):
+    """Customers put into a keyed store, and those with orders of the highest priority read from it."""
+    store = KeyedStore(_folder(spark, "customers"), "c_custkey", 8)
+    store.write(table(spark, d, "customer").select("c_custkey", "c_nationkey"))
+    wanted = table(spark, d, "orders").filter("o_orderpriority = '1-URGENT'").select(F.col("o_custkey").alias("c_custkey"))
+    return store.read(wanted)
+
+
+def q34(spark, d):
+    """One AND with its count."""
+    _, ones = vector_and.vector_and(encode.vertical_words(order_supp(spark, d)), 1, 2, store=False)
+    return spark.createDataFrame([(ones,)], "support long")
+
+
 ITEMSETS = {
     "q01_item_support": q01, "q02_frequent_items": q02, "q03_item_rank": q03, "q04_vertical_words": q04,
     "q05_vertical_reserve": q05, "q06_word_popcount": q06, "q07_and_pair_words": q07, "q08_pairwise_support": q08,
@@ -211,6 +293,9 @@ ITEMSETS = {
     "q14_mine_full_cust_brand": q14, "q15_level_stats": q15, "q16_pattern_lines": q16,
     "q17_batched_children_support": q17, "q18_fup_counts_new_in_old": q18, "q18b_fup_counts_old_in_new": q18b,
     "q19_fup_merged": q19, "q20_vbitmap_roundtrip": q20, "q21_tree_nodes_k3": q21,
+    "q22_pattern_order": q22, "q23_basket_text": q23, "q24_prior_patterns": q24, "q25_segmented_and_words": q25,
+    "q26_segmented_and_counts": q26, "q27_array_and": q27, "q28_pairs_bitmap": q28, "q29_candidates_per_level": q29,
+    "q30_recoded_mining": q30, "q31_tree_nodes_level2": q31, "q32_stored_and": q32, "q33_keyed_store": q33, "q34_counted_and": q34,
 }
 
 # ---------------------------------------------------------------- the same in SQL
@@ -275,6 +360,20 @@ def _one_sided(here: str, there: str) -> str:
     )
 
 
+_SEGMENTS = (
+    f"WITH {_SUPP}, w AS (SELECT item, tid // 16 AS word_idx, CAST(sum(1 << CAST(tid % 16 AS INTEGER)) AS BIGINT) AS word FROM b GROUP BY 1, 2), "
+    "p(parent, pos, child) AS (VALUES (1, 0, 2), (1, 1, 5), (3, 0, 4), (3, 1, 6), (3, 2, 8), (7, 0, 9)) SELECT parent, pos, child, x.word_idx"
+)
+_SEGMENT_JOIN = "FROM p JOIN w x ON x.item = parent JOIN w y ON y.item = child AND y.word_idx = x.word_idx"
+#: Candidates of three to five items: sets whose subsets of one item less are all frequent.
+_CANDIDATES = (
+    f"m AS ({_mining(CUST_BRAND, 5)}), f AS (SELECT level, [CAST(i AS INTEGER) FOR i IN string_split(itemset, ' ')] AS s FROM m), "
+    "j AS (SELECT x.level + 1 AS level, list_append(x.s, y.s[-1]) AS s FROM f x JOIN f y ON x.level = y.level AND x.level > 1 AND x.s[:-2] = y.s[:-2] AND x.s[-1] < y.s[-1]), "
+    "e AS (SELECT level, s, unnest(range(1, level - 1)) AS p FROM j), "
+    "g AS (SELECT e.level, e.s FROM e JOIN f ON f.level = e.level - 1 AND f.s = list_concat(e.s[:p - 1], e.s[p + 1:]) GROUP BY 1, 2 HAVING count(*) = e.level - 2) "
+    "SELECT level, count(*) AS n_candidates FROM g GROUP BY level"
+)
+
 ITEMSETS_SQL = {
     "q01_item_support": f"WITH {_SUPP} SELECT item, count(*) AS support FROM b GROUP BY item",
     "q02_frequent_items": f"WITH {_SUPP}, {_COUNT} SELECT item, count(*) AS support FROM b GROUP BY item HAVING {_at_least(Fraction(4, 1000))}",
@@ -300,4 +399,20 @@ ITEMSETS_SQL = {
     "q19_fup_merged": f"WITH {_BRAND}, {_COUNT} {_mining(FUP, 3)}",
     "q20_vbitmap_roundtrip": f"WITH {_SUPP} SELECT item, count(*) AS support FROM b GROUP BY item",
     "q21_tree_nodes_k3": f"{_THREE} SELECT (SELECT count(DISTINCT i) FROM ok) + (SELECT count(*) FROM (SELECT DISTINCT i, j FROM ok)) + (SELECT count(*) FROM ok) AS n_nodes",
+    "q22_pattern_order": f"WITH {_CUST}, {_COUNT}, r AS (SELECT item, row_number() OVER (ORDER BY count(*) DESC, item) - 1 AS rank FROM b GROUP BY item HAVING {_at_least(Fraction(3, 5))}), "
+    f"m AS ({_mining(Fraction(3, 5), 4)}), o AS (SELECT level, itemset, support, list_sort(list(rank)) AS ranks FROM (SELECT level, itemset, support, unnest(string_split(itemset, ' ')) AS i FROM m) JOIN r ON CAST(i AS INTEGER) = r.item GROUP BY 1, 2, 3), "
+    "a AS (SELECT level, itemset || ' (' || CAST(support AS VARCHAR) || ')' AS line, ranks FROM o UNION ALL SELECT 0, '(' || CAST(n AS VARCHAR) || ')', [] FROM c) "
+    "SELECT row_number() OVER (ORDER BY level, ranks) - 1 AS seq, line FROM a",
+    "q23_basket_text": f"WITH {_CUST} SELECT item, count(*) AS support FROM b GROUP BY item",
+    "q24_prior_patterns": f"WITH {_CUST}, {_COUNT} SELECT itemset, support FROM ({_mining(Fraction(3, 5), 4)})",
+    "q25_segmented_and_words": f"{_SEGMENTS}, x.word & y.word AS word {_SEGMENT_JOIN}",
+    "q26_segmented_and_counts": f"{_SEGMENTS}, CAST(bit_count(x.word & y.word) AS INTEGER) AS ones {_SEGMENT_JOIN}",
+    "q27_array_and": f"WITH {_SUPP} SELECT (SELECT count(*) FROM b x JOIN b y USING (tid) WHERE x.item = 1 AND y.item = 2) AS support, max(tid) // 16 + 1 AS n_words FROM b",
+    "q28_pairs_bitmap": f"WITH {_SUPP} SELECT itemset, support FROM ({_sets(2, Fraction(1), n='1')})",
+    "q29_candidates_per_level": f"WITH {_CUST}, {_COUNT}, {_CANDIDATES}",
+    "q30_recoded_mining": f"WITH {_CUST}, {_COUNT} SELECT itemset, support FROM ({_mining(Fraction(3, 5), 4)})",
+    "q31_tree_nodes_level2": f"{_THREE} SELECT count(*) AS n_nodes FROM (SELECT DISTINCT i, j FROM ok)",
+    "q32_stored_and": f"WITH {_SUPP}, p(parent, pos, child, i, j) AS (VALUES (0, 0, 7, 1, 2), (0, 1, 9, 1, 2), (2, 0, 8, 3, 4)) SELECT parent, pos, child, (SELECT count(*) FROM b x JOIN b y USING (tid) JOIN b z USING (tid) WHERE x.item = i AND y.item = j AND z.item = child) AS support FROM p",
+    "q33_keyed_store": "SELECT c_custkey, c_nationkey FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT')",
+    "q34_counted_and": f"WITH {_SUPP} SELECT count(*) AS support FROM b x JOIN b y USING (tid) WHERE x.item = 1 AND y.item = 2",
 }

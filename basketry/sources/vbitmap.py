@@ -6,14 +6,19 @@ that readers ignore, and ceil(n / 16) uint16 words; transaction t is bit t % 16
 
 from __future__ import annotations
 
+import os
 import struct
+import uuid
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
+
+from basketry.sources.files import mounted
 
 SLOT = 0xFFFFFFFF
 SCHEMA = "item int, support long, words binary"
@@ -34,14 +39,15 @@ def parse_header(head: bytes, size: int) -> tuple[int, int, int]:
 
 
 class _Range(InputPartition):
-    def __init__(self, start: int, stop: int):
-        self.start, self.stop = start, stop
+    def __init__(self, path: str, start: int, stop: int):
+        self.path, self.start, self.stop = path, start, stop
 
 
 class VBitmapDataSource(DataSource):
-    """``spark.read.format("vbitmap").load(path)`` with ``path`` on a file system that every executor mounts.
+    """``spark.read.format("vbitmap").load(path)`` with ``path``, a file or a folder of files, on a file system that every executor mounts.
 
-    Partitions are ranges of items, each read by one seek. For object stores use :func:`read_vbitmap`.
+    Partitions are ranges of items, each read by one seek. For object stores use :func:`read_vbitmap`. Writing
+    ``(item, record)`` with the option ``n_tids`` gives one file a task; mode ``append`` adds files.
     """
 
     @classmethod
@@ -54,26 +60,36 @@ class VBitmapDataSource(DataSource):
     def reader(self, schema) -> DataSourceReader:
         return _Reader(self.options)
 
+    def writer(self, schema, overwrite: bool) -> DataSourceWriter:
+        return _Writer(self.options, overwrite)
+
+
+def _files(path: str) -> list[str]:
+    return sorted(os.path.join(path, f) for f in os.listdir(path) if f.endswith(".bin")) if os.path.isdir(path) else [path]
+
+
+def _header(path: str) -> tuple[int, int, int]:
+    with open(path, "rb") as f:
+        head = f.read(16)
+        return parse_header(head, f.seek(0, 2))
+
 
 class _Reader(DataSourceReader):
     def __init__(self, options):
-        self.path = options["path"].removeprefix("file://")
+        self.path = mounted(options["path"])
         self.splits = int(options.get("splits", "8"))
 
-    def _header(self):
-        with open(self.path, "rb") as f:
-            head = f.read(16)
-            return parse_header(head, f.seek(0, 2))
-
     def partitions(self):
-        _, _, m = self._header()
-        step = max(1, -(-m // self.splits))
-        return [_Range(i, min(m, i + step)) for i in range(0, m, step)] or [_Range(0, 0)]
+        sizes = [(path, _header(path)[2]) for path in _files(self.path)]
+        step = max(1, -(-sum(m for _, m in sizes) // self.splits))
+        return [_Range(path, i, min(m, i + step)) for path, m in sizes for i in range(0, m, step)] or [_Range("", 0, 0)]
 
     def read(self, partition) -> Iterator[tuple]:
-        width, n, _ = self._header()
+        if partition.start == partition.stop:
+            return
+        width, n, _ = _header(partition.path)
         size = record_size(n)
-        with open(self.path, "rb") as f:
+        with open(partition.path, "rb") as f:
             f.seek(2 * width + partition.start * size)
             for _ in range(partition.start, partition.stop):
                 record = f.read(size)
@@ -81,6 +97,48 @@ class _Reader(DataSourceReader):
                 yield struct.unpack_from("<i", record)[0], int(np.bitwise_count(np.frombuffer(words, np.uint8)).sum()), words
 
 
+@dataclass
+class _Part(WriterCommitMessage):
+    hidden: str | None
+
+
+class _Writer(DataSourceWriter):
+    """Tasks write hidden files, so that a lost or repeated task leaves nothing to be read; the commit names them."""
+
+    def __init__(self, options, overwrite: bool):
+        self.path, self.overwrite = mounted(options["path"]), overwrite
+        self.n_tids, self.width = int(options["n_tids"]), int(options.get("width", "8"))
+
+    def write(self, iterator) -> _Part:
+        os.makedirs(self.path, exist_ok=True)
+        hidden, m = os.path.join(self.path, f".{uuid.uuid4().hex}.bin.tmp"), 0
+        with open(hidden, "wb") as f:
+            f.write(b"\0" * (2 * self.width))
+            for row in iterator:
+                f.write(row["record"])
+                m += 1
+            f.seek(0)
+            f.write(struct.pack("<II" if self.width == 4 else "<QQ", self.n_tids, m))
+        if not m:
+            os.remove(hidden)
+        return _Part(hidden if m else None)
+
+    def commit(self, messages) -> None:
+        os.makedirs(self.path, exist_ok=True)
+        if self.overwrite:
+            for path in _files(self.path):
+                os.remove(path)
+        for message in messages:
+            if message is not None and message.hidden:
+                folder, name = os.path.split(message.hidden)
+                os.replace(message.hidden, os.path.join(folder, name.removeprefix(".").removesuffix(".tmp")))
+
+    def abort(self, messages) -> None:
+        for message in messages:
+            if message is not None and message.hidden and os.path.exists(message.hidden):
+                os.remove(message.hidden)
+
+
 def read_vbitmap(spark: SparkSession, path: str) -> DataFrame:
     """(item, support, words) through Spark's own file reader, so any store that Spark reads will do. A file is one task."""
 
@@ -128,11 +186,18 @@ def vertical_records(words: DataFrame, n_tids: int, catalog: DataFrame | None =
     return full.groupBy("item").applyInPandas(pack, "item int, record binary")
 
 
+def write_vbitmaps(words: DataFrame, n_tids: int, path: str, catalog: DataFrame | None = None, width: int = 8, mode: str = "overwrite") -> None:
+    """Write a folder of files, one a task; with mode ``append`` beside those there. Items must not be in the folder yet."""
+    words.sparkSession.dataSource.register(VBitmapDataSource)
+    records = vertical_records(words, n_tids, catalog)
+    records.write.format("vbitmap").mode(mode).option("n_tids", n_tids).option("width", width).save(path)
+
+
 def write_vbitmap(words: DataFrame, n_tids: int, path: str, catalog: DataFrame | None = None, width: int = 8) -> int:
     """Write one file through the driver, record by record; returns the number of items."""
     records = vertical_records(words, n_tids, catalog)
     m = 0
-    with open(path.removeprefix("file://"), "wb") as f:
+    with open(mounted(path), "wb") as f:
         f.write(b"\0" * (2 * width))
         for row in records.orderBy("item").toLocalIterator():
             f.write(row["record"])

@@ -5,11 +5,15 @@ from itertools import combinations
 import numpy as np
 import pytest
 
+from basketry import session
+from basketry.__main__ import main, support
+from basketry.functions.generate import random_matrix
 from basketry.functions.thresholds import absolute_support, check_lossless
-from basketry.operators import encode, vector_and
+from basketry.operators import counting, encode, vector_and
 from basketry.plans.incremental import update_patterns
 from basketry.plans.miner import mine
-from basketry.sources import fimi, patterns, vbitmap
+from basketry.sources import files, fimi, patterns, vbitmap
+from basketry.sources.keyed import KeyedStore
 from basketry.streaming.increments import PatternMaintainer
 
 DB = [{1, 2, 5}, {2, 4}, {2, 3}, {1, 2, 4}, {1, 3}, {2, 3}, {1, 3}, {1, 2, 3, 5}, {1, 2, 3}]
@@ -167,3 +171,144 @@ def test_stream_of_increments(spark, tmp_path):
     assert found(keeper.patterns(spark, 1)) == MERGED
     keeper(frame(spark, MORE, len(DB)), 1)
     assert found(keeper.patterns(spark, 1)) == MERGED
+
+
+@pytest.mark.parametrize("batch", [1, 3, 1000])
+def test_blocks_of_candidates(spark, batch):
+    """Sets of several lengths, some in no basket, whatever the size of a block."""
+    sets = [[1], [5], [1, 2], [2, 5], [4, 5], [1, 2, 3], [1, 2, 5], [1, 2, 3, 5], [9], [1, 9]]
+    wanted = spark.createDataFrame([(s,) for s in sets], "items array<int>")
+    want = {tuple(s): n for s in sets if (n := sum(set(s) <= b for b in DB))}
+    assert found(counting.count_arrow(frame(spark, DB), wanted, batch=batch)) == want
+    assert found(mine(frame(spark, DB), 2, strategy="arrow", batch=batch).itemsets()) == GOLDEN
+
+
+def test_long_baskets(spark, monkeypatch):
+    """Baskets over the bound are split for the pair join and give the same pairs."""
+    whole = found(counting.pair_support(frame(spark, DB)))
+    monkeypatch.setattr(counting, "LONG", 2)
+    assert found(counting.pair_support(frame(spark, DB))) == whole == found(counting.pair_support_bitmap(frame(spark, DB)))
+    assert found(mine(frame(spark, DB), 2).itemsets()) == GOLDEN
+
+
+def test_sparse_transaction_numbers(spark):
+    far = spark.createDataFrame([(t * 10**12 - 10**9, i) for t, b in enumerate(DB) for i in b], "tid long, item int")
+    assert counting.profile(far).sparse and not counting.profile(frame(spark, DB)).sparse
+    for strategy in ("auto", "arrow", "horizontal"):
+        assert found(mine(far, 2, strategy=strategy).itemsets()) == GOLDEN
+
+
+def test_arrays_as_baskets(spark):
+    arrays = spark.createDataFrame([(t, sorted(b)) for t, b in enumerate(DB)], "tid long, items array<int>")
+    assert found(mine(arrays, 2).itemsets()) == GOLDEN
+
+
+def test_recode_and_decode(spark):
+    ranks = encode.item_rank(encode.item_support(frame(spark, DB)))
+    coded = mine(encode.recode(frame(spark, DB), ranks), 2).itemsets()
+    assert found(encode.decode(coded, ranks)) == GOLDEN
+
+
+def test_depth_first_order(spark, tmp_path):
+    """By level, then depth-first by rank: here the ranks of items 1 to 5 are 1, 0, 2, 3 and 4."""
+    mine(frame(spark, DB), 2, output=str(tmp_path / "out"))
+    written = [x for f in sorted((tmp_path / "out").glob("part-*")) for x in f.read_text().splitlines()]
+    rank = {1: 1, 2: 0, 3: 2, 4: 3, 5: 4}
+    want = sorted(GOLDEN, key=lambda s: (len(s), sorted(rank[i] for i in s)))
+    assert written == ["(9)"] + [f"{' '.join(map(str, s))} ({GOLDEN[s]})" for s in want]
+
+
+def test_vector_and_with_flags(spark):
+    words, calls = encode.vertical_words(frame(spark, DB)), vector_and.AndCalls()
+    vector, ones = vector_and.vector_and(words, 1, 2, calls=calls)
+    assert ones == 4 and vector.first()["word"] == 0x1D9 & 0x1AF
+    kept = vector.withColumn("seg", vector["word_idx"].cast("int"))
+    assert vector_and.vector_and(words, 3, 0, stored=kept, store=False, calls=calls) == (None, 2)
+    assert vector_and.vector_and(words, 1, 9, count=False, calls=calls)[1] == -1
+    assert calls == vector_and.AndCalls(stored=2, counted=2)
+
+
+def test_stored_batches(spark):
+    words = encode.vertical_words(frame(spark, DB))
+    kept = vector_and.bounded_and(words, [1, 2], [2, 1], [2, 3, 4], store=True)
+    got = vector_and.bounded_and(words, [0, 1], [2, 1], [3, 5, 4], stored=kept, begin=1)
+    assert {(r["parent"], r["child"]): r["support"] for r in got.collect()} == {(0, 3): 4, (0, 5): 1, (1, 4): 2}
+    with pytest.raises(ValueError):
+        vector_and.bounded_and(words, [0], [1], [2], begin=0)
+
+
+def test_batches_against_single_ands(spark):
+    """10,000 seeded words a segment: a batch of parents and children gives what one AND at a time gives."""
+    size, segs = 10_000, 4
+    left, right = (np.random.default_rng(seed).integers(0, 65536, (segs, size)) for seed in (777, 999))
+    lists, at = np.random.default_rng(2), [0, 2, 3]
+    children = [sorted(lists.choice(segs, 3, replace=False).tolist()) for _ in at]
+    rows = [(p, k, c) for p, held in zip(at, children) for k, c in enumerate(held)]
+    words = words_frame(spark, {"l": left.tolist(), "r": right.tolist()})
+    pairs = spark.createDataFrame(rows, "parent int, pos int, child int")
+    stored = vector_and.segmented_and(words, pairs).groupBy("parent", "child").agg({"word": "sum"}).collect()
+    counts = vector_and.segmented_and(words, pairs, store=False).groupBy("parent", "child").agg({"ones": "sum"}).collect()
+    assert {tuple(r) for r in stored} == {(p, c, int((left[p] & right[c]).sum())) for p, _, c in rows}
+    assert {tuple(r) for r in counts} == {(p, c, int(np.bitwise_count(left[p] & right[c]).sum())) for p, _, c in rows}
+
+
+def test_array_and(spark):
+    arrays = vector_and.word_arrays(encode.vertical_words(frame(spark, DB)), 17)
+    assert [tuple(r) for r in vector_and.array_and(arrays, 1, 2).collect()] == [([0x1D9 & 0x1AF, 0], 4)]
+    assert vector_and.array_and(arrays, 1, 9).count() == 0
+
+
+def test_folder_of_vertical_files(spark, tmp_path):
+    path, words = str(tmp_path / "v"), encode.vertical_words(frame(spark, DB))
+    vbitmap.write_vbitmaps(words.filter("item < 4"), 9, path)
+    vbitmap.write_vbitmaps(words.filter("item >= 4"), 9, path, width=4, mode="append")
+    for vertical in (spark.read.format("vbitmap").load(path), vbitmap.read_vbitmap(spark, path)):
+        assert {(r["tid"], r["item"]) for r in vbitmap.to_baskets(vertical).collect()} == {(t, i) for t, b in enumerate(DB) for i in b}
+    listed = {r["path"].rsplit("/", 1)[1]: r["bytes"] for r in files.list_files(spark, path, "*.bin").collect()}
+    assert listed == {f.name: f.stat().st_size for f in (tmp_path / "v").glob("*.bin")} and len(listed) >= 2
+    vbitmap.write_vbitmaps(words.filter("item = 5"), 9, path)
+    assert [r["item"] for r in spark.read.format("vbitmap").load(path).collect()] == [5]
+    with pytest.raises(ValueError):
+        files.mounted("s3a://bucket/v")
+
+
+def test_keyed_store(spark, tmp_path):
+    store = KeyedStore(str(tmp_path / "store"), "k", 4)
+    rows = [(k, k * 10) for k in range(20)]
+    store.write(spark.createDataFrame(rows, "k int, v int"))
+    store.write(spark.createDataFrame([(3, 31), (None, 1)], "k int, v int"))
+    assert {r["v"] for r in store.get(spark, 3).collect()} == {30, 31}
+    assert store.get(spark, 99).count() == 0
+    wanted = spark.createDataFrame([(1,), (3,), (3,), (None,), (50,)], "k int")
+    assert sorted(r["v"] for r in store.read(wanted).collect()) == [10, 30, 31]
+    store.reset(spark)
+    assert store.read(wanted).count() == 0
+    store.write(spark.createDataFrame([(1, 5)], "k int, v int"))
+    assert [r["v"] for r in store.read(wanted).collect()] == [5]
+
+
+def test_random_matrix(spark):
+    first, again = (random_matrix(spark, 50, 40, 7).repartition(n).orderBy("row").collect() for n in (1, 5))
+    values = np.array([r["values"] for r in first])
+    assert first == again and values.shape == (50, 40) and 0 <= values.min() and values.max() < 1
+    assert abs(values.mean() - 0.5) < 0.05 and len(np.unique(values)) == 2000
+    assert random_matrix(spark, 2, 0).first()["values"] == []
+
+
+def test_command_line(spark, tmp_path, capsys, monkeypatch):
+    monkeypatch.setattr(session, "_STAGED", [])
+    for name, baskets, first in (("old", DB, 0), ("new", MORE, len(DB))):
+        frame(spark, baskets, first).write.parquet(str(tmp_path / name))
+        main(["mine", "--format", "parquet", "--data", str(tmp_path / name), "--min-sup", "1/4", "--output", str(tmp_path / f"{name}.txt")])
+    args = [x for side in ("old", "new") for x in (f"--{side}", str(tmp_path / side), f"--{side}-patterns", str(tmp_path / f"{side}.txt"))]
+    main(["update", "--format", "parquet", *args, "--min-sup", "25%", "--output", str(tmp_path / "all.txt")])
+    assert found(patterns.read_patterns(spark, str(tmp_path / "all.txt"))) == MERGED
+    assert patterns.read_transaction_count(spark, str(tmp_path / "all.txt")) == 14
+    (tmp_path / "baskets.txt").write_text("".join(" ".join(map(str, sorted(b))) + "\n" for b in DB))
+    main(["mine", "--data", str(tmp_path / "baskets.txt"), "--min-sup", "2", "--output", str(tmp_path / "out"), "--verbose"])
+    assert found(patterns.read_patterns(spark, str(tmp_path / "out"))) == GOLDEN and not session._STAGED
+    printed = capsys.readouterr().out
+    assert "13 patterns" in printed and "level 3: 2 candidates" in printed
+    assert [str(support(x)) for x in ("3", "0.01", "1%")] == ["3", "1/100", "1/100"]
+    with pytest.raises(SystemExit):
+        main(["mine", "--data", "x", "--min-sup", "many", "--output", "y"])
