@@ -9,10 +9,10 @@ from fractions import Fraction
 
 from pyspark.sql import DataFrame, SparkSession
 
+from basketry.operators.counting import BATCH
 from basketry.operators.encode import normalize
 from basketry.plans.incremental import update_patterns
 from basketry.plans.miner import STRATEGIES, FrequentItemsetMiner, MiningResult
-from basketry.operators.counting import BATCH
 from basketry.session import clear_staged, staged
 from basketry.sources import fimi, patterns, vbitmap
 
@@ -67,7 +67,8 @@ def _mine(spark: SparkSession, args: argparse.Namespace) -> int:
     result = miner.mine(baskets)
     if args.verbose:
         for row in result.level_stats().orderBy("level").collect():  # one row a level
-            print(f"level {row.level}: {row.n_candidates} candidates, {row.n_nodes} nodes, {row.n_patterns} patterns, {row.generate_s + row.count_s:.2f} s")
+            joined = f"{row.n_candidates} candidates, {row.n_nodes} nodes, " if row.n_candidates is not None else ""
+            print(f"level {row.level}: {joined}{row.n_patterns} patterns, {row.generate_s + row.count_s:.2f} s")
     return result.total
 
 
