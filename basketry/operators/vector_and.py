@@ -43,17 +43,26 @@ def vector_and(words: DataFrame, left: int, right: int, stored: DataFrame | None
 
 
 def array_and(arrays: DataFrame, left: int, right: int) -> DataFrame:
-    """(words, support) of two items of a table (item, words ARRAY<BIGINT>) with arrays of one length."""
-    both = arrays.agg(*(F.first(F.when(F.col("item") == item, F.col("words")), ignorenulls=True).alias(name) for item, name in ((left, "a"), (right, "b"))))
+    """(words, support) of two items of a table (item, words ARRAY<BIGINT>) with arrays of one length.
+
+    The filter on the items reaches below the making of the arrays, so that no others are made.
+    """
+    both = arrays.filter(F.col("item").isin(left, right)).agg(*(F.first(F.when(F.col("item") == item, F.col("words")), ignorenulls=True).alias(name) for item, name in ((left, "a"), (right, "b"))))
     anded = both.dropna().select(and_words(F.col("a"), F.col("b")).alias("words"))
     return anded.select("words", popcount_words(F.col("words")).alias("support"))
 
 
 def word_arrays(words: DataFrame, n_tids: int, bits: int = 16) -> DataFrame:
-    """(item, words): dense arrays of a vertical table, zeros where an item has no word."""
+    """(item, words): dense arrays of a vertical table, zeros where an item has no word.
+
+    Each word is followed by the zeros up to the next one, so that the work grows with the length of the arrays.
+    """
     size = ceil_div(F.lit(n_tids).cast("long"), bits)
-    held = words.groupBy("item").agg(F.map_from_entries(F.collect_list(F.struct("word_idx", "word"))).alias("held"))
-    filled = F.transform(F.sequence(F.lit(0).cast("long"), size - 1), lambda i: F.coalesce(F.element_at("held", i), F.lit(0).cast("long")))
+    zeros = lambda n: F.array_repeat(F.lit(0).cast("long"), n.cast("int"))
+    inside = F.when(F.col("word_idx").between(0, size - 1), F.struct(F.col("word_idx").cast("long").alias("at"), F.coalesce(F.col("word").cast("long"), F.lit(0)).alias("word")))
+    held = words.groupBy("item").agg(F.array_sort(F.collect_list(inside)).alias("held"))
+    place = lambda k: F.coalesce(F.get("held", k)["at"], size)
+    filled = F.concat(zeros(place(F.lit(0))), F.flatten(F.transform("held", lambda x, k: F.concat(F.array(x["word"]), zeros(place(k + 1) - x["at"] - 1)))))
     return held.select("item", filled.alias("words"))
 
 

@@ -27,6 +27,12 @@ def order_supp(spark: SparkSession, d: str) -> DataFrame:
     return encode.normalize(table(spark, d, "lineitem"), "l_orderkey", "l_suppkey")
 
 
+def _n_tids(spark: SparkSession, d: str) -> int:
+    """One more than the highest transaction number of :func:`order_supp`, 0 without any."""
+    last = table(spark, d, "lineitem").select("l_orderkey", "l_suppkey").dropna().agg(F.max("l_orderkey")).first()[0]
+    return 0 if last is None else last + 1
+
+
 def _brand(part: DataFrame) -> DataFrame:
     return part.select("p_partkey", F.regexp_extract("p_brand", "[0-9]+", 0).cast("int").alias("brand"))
 
@@ -239,8 +245,7 @@ def q26(spark, d):
 
 
 def q27(spark, d):
-    b = order_supp(spark, d)
-    arrays = vector_and.word_arrays(encode.vertical_words(b), b.agg(F.max("tid")).first()[0] + 1)
+    arrays = vector_and.word_arrays(encode.vertical_words(order_supp(spark, d)), _n_tids(spark, d))
     return vector_and.array_and(arrays, 1, 2).select("support", F.size("words").cast("long").alias("n_words"))
 
 

@@ -1,5 +1,6 @@
 """Golden baskets, bit-vector fixtures, file formats, incremental and streaming updates, and edge cases of mining."""
 
+import time
 from itertools import combinations
 
 import numpy as np
@@ -258,6 +259,21 @@ def test_array_and(spark):
     assert vector_and.array_and(arrays, 1, 9).count() == 0
 
 
+def test_word_arrays_of_many_words(spark):
+    """50,000 words in a vector: the time grows with their number, not with its square."""
+    n = 800_000
+    words = spark.sql(f"SELECT cast(i AS int) AS item, id AS word_idx, (id * 7 + i) % 65535 + 1 AS word FROM range(3, {n // 16 - 2}), (SELECT explode(array(1, 2, 4)) AS i) WHERE (id + i) % 3 > 0")
+    began = time.monotonic()
+    got = {r["item"]: np.array(r["words"]) for r in vector_and.word_arrays(words, n).collect()}
+    anded = vector_and.array_and(vector_and.word_arrays(words, n), 1, 2).first()
+    assert time.monotonic() - began < 30
+    at = np.arange(n // 16)
+    want = {i: np.where(((at + i) % 3 > 0) & (at >= 3) & (at < n // 16 - 2), (at * 7 + i) % 65535 + 1, 0) for i in (1, 2, 4)}
+    assert all((got[i] == want[i]).all() for i in want) and len(got) == 3
+    assert anded["words"] == (want[1] & want[2]).tolist() and anded["support"] == np.bitwise_count(want[1] & want[2]).sum()
+    assert {r["item"]: r["words"] for r in vector_and.word_arrays(encode.vertical_words(frame(spark, [{1}] * 40 + [{1, 2}] * 8)), 17).collect()} == {1: [65535, 65535], 2: [0, 0]}
+
+
 def test_folder_of_vertical_files(spark, tmp_path):
     path, words = str(tmp_path / "v"), encode.vertical_words(frame(spark, DB))
     vbitmap.write_vbitmaps(words.filter("item < 4"), 9, path)
