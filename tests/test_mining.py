@@ -1,6 +1,7 @@
 """Golden baskets, bit-vector fixtures, file formats, incremental and streaming updates, and edge cases of mining."""
 
 import time
+from collections import Counter
 from itertools import combinations
 
 import numpy as np
@@ -192,6 +193,22 @@ def test_long_baskets(spark, monkeypatch):
     assert found(mine(frame(spark, DB), 2).itemsets()) == GOLDEN
 
 
+@pytest.mark.parametrize("part", [40, 1_024])
+def test_bitmap_pairs_meet_within_stripes(spark, monkeypatch, part):
+    """6,000 items in 60 groups that share no stripe: pairs across groups are never made."""
+    monkeypatch.setattr(counting, "PART", part, raising=False)
+    rng, far = np.random.default_rng(3), []
+    for g in range(60):
+        far += [(g * 65_536 + t * 500, {int(g * 100 + i) for i in rng.choice(100, rng.integers(1, 6), replace=False)}) for t in range(100)]
+    want = Counter(p for _, b in far for p in combinations(sorted(b), 2))
+    baskets = session.staged(spark.createDataFrame([(t, i) for t, b in far for i in b], "tid long, item int"))
+    began = time.monotonic()
+    got = found(counting.pair_support_bitmap(baskets))
+    assert time.monotonic() - began < 30 and got == want
+    assert found(counting.pair_support_bitmap(baskets, 2)) == {p: n for p, n in want.items() if n > 1}
+    assert counting.pair_support_bitmap(baskets.limit(0)).count() == 0
+
+
 def test_sparse_transaction_numbers(spark):
     far = spark.createDataFrame([(t * 10**12 - 10**9, i) for t, b in enumerate(DB) for i in b], "tid long, item int")
     assert counting.profile(far).sparse and not counting.profile(frame(spark, DB)).sparse
