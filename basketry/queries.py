@@ -197,11 +197,9 @@ def _folder(spark, name: str) -> str:
 
 def q20(spark, d):
     """Write vertical files from the executors, read them back, and give the supports found in them."""
-    b = order_supp(spark, d)
-    n = b.agg(F.max("tid")).first()[0] + 1
     path = _folder(spark, "order_supp")
-    vbitmap.write_vbitmaps(encode.vertical_words(b), n, path)
-    return spark.read.format("vbitmap").load(path).select("item", "support")
+    vbitmap.write_vbitmaps(encode.vertical_words(order_supp(spark, d)), _n_tids(spark, d), path, packed=True)
+    return spark.read.format("vbitmap").schema("item int, support long").load(path)
 
 
 def q21(spark, d):

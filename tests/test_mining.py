@@ -305,6 +305,26 @@ def test_folder_of_vertical_files(spark, tmp_path):
         files.mounted("s3a://bucket/v")
 
 
+def test_packed_vertical_files(spark, tmp_path):
+    """As many bytes as the set bits need, dense items as they are, and the same read back, beside plain files too."""
+    path, rng, n = str(tmp_path / "v"), np.random.default_rng(4), 1_000_000
+    held = {i: np.sort(rng.choice(n, 40, replace=False)) for i in range(1, 301)} | {0: np.arange(n // 2, dtype=np.int64) * 2}
+    rows = [(int(t), i) for i, tids in held.items() if i for t in tids]
+    baskets = spark.createDataFrame(rows, "tid long, item int").unionByName(spark.range(n // 2).selectExpr("id * 2 AS tid", "0 AS item"))
+    catalog = spark.createDataFrame([(i,) for i in range(302)], "item int")
+    vbitmap.write_vbitmaps(encode.vertical_words(baskets), n, path, catalog, packed=True)
+    assert sum(f.stat().st_size for f in (tmp_path / "v").glob("*.bin")) < 300_000 < 301 * n // 8
+    want = {i: len(tids) for i, tids in held.items()} | {301: 0}
+    assert {r["item"]: r["support"] for r in spark.read.format("vbitmap").schema("item int, support long").load(path).collect()} == want
+    vbitmap.write_vbitmaps(spark.createDataFrame([(400, 3, 5)], "item int, word_idx long, word long"), n, path, mode="append")
+    for vertical in (spark.read.format("vbitmap").option("splits", 3).load(path), vbitmap.read_vbitmap(spark, path)):
+        got = {r["item"]: (r["support"], r["words"]) for r in vertical.collect()}
+        assert {i: x[0] for i, x in got.items()} == want | {400: 2}
+        for i in (0, 1, 300):
+            assert np.array_equal(np.flatnonzero(np.unpackbits(np.frombuffer(got[i][1], np.uint8), bitorder="little")), held[i])
+        assert got[301][1] == bytes(n // 8) and np.flatnonzero(np.frombuffer(got[400][1], "<u2")).tolist() == [3]
+
+
 def test_keyed_store(spark, tmp_path):
     store = KeyedStore(str(tmp_path / "store"), "k", 4)
     rows = [(k, k * 10) for k in range(20)]
