@@ -221,6 +221,24 @@ def test_passages_among_texts_that_share_less(spark, between):
     assert _linked_pairs(spark, 40, between, lambda words, rng: words) == 40
 
 
+def test_short_near_passages_among_texts_that_share_less(spark):
+    """Passages of 52 words, in 40 pairs of texts the second time with another word in the middle (similarity 0.81); each
+    has 30 texts with two words changed beside it, none of which is alike to both or in the way."""
+    rng, texts, at = np.random.default_rng(8), [], []
+    for g in range(40):
+        for kind in ["first", *["other"] * 30, "second"]:
+            i, start, words = len(texts), int(rng.integers(5, 60)), [f"p{g}_{k}" for k in range(52)]
+            changed = {"first": [], "second": [int(rng.integers(18, 34))], "other": [int(rng.integers(4, 16)), int(rng.integers(36, 48))]}[kind]
+            for k in changed:
+                words[k] = f"c{i}_{k}"
+            if kind != "other":
+                at.append(i)
+            texts.append(" ".join([*(f"a{i}_{k}" for k in range(start)), *words, *(f"z{i}_{k}" for k in range(20))]))
+    rows = substring_dedup.repeated_passages(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    classes = {i: {r["class_id"] for r in rows if r["doc_id"] == i} for i in at}
+    assert sum(bool(classes[a] & classes[b]) for a, b in zip(at[::2], at[1::2])) >= 39
+
+
 def test_near_passages(spark):
     """Of passages of 120 words with two words changed (shingle similarity 0.84), 0.95 are found; such
     with a word changed every 9, which have a similarity of about 0.3, are not."""
