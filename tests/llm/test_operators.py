@@ -257,6 +257,44 @@ def test_near_passages(spark):
     assert _linked_pairs(spark, 60, 0, many) == 0
 
 
+def _stretches(a, b, own, lost, least, per_mille):
+    for s in range(len(b)):
+        for e in range(s + least, len(b) + 1):
+            part = set(b[s:e].tolist())
+            both = len(part & set(a.tolist())) + lost
+            if b[s] in a and b[e - 1] in a and 1000 * both >= per_mille * (len(part - set(a.tolist())) + both + max(0, own - both)):
+                return True
+    return False
+
+
+def test_stretches_that_repeat_shingles_by_brute_force():
+    rng = np.random.default_rng(5)
+    runs = [rng.integers(0, k, n).astype(np.uint16) for k in (3, 8, 14) for n in (20, 23, 12, 9, 23, 16)]
+    own = np.array([substring_dedup._least_distinct(x, 12) for x in runs])
+    assert own.tolist() == [min(len(set(x[s : s + 12].tolist())) for s in range(max(1, len(x) - 11))) for x in runs]
+    i, j = (x.ravel() for x in np.meshgrid(np.arange(len(runs)), np.arange(len(runs))))
+    lost = np.arange(len(runs)) % 5 == 0
+    got = substring_dedup._dense_sets(runs, *substring_dedup._coded(runs), own, lost.astype(int), i, j, 12, 700)
+    assert got.tolist() == [_stretches(runs[x], runs[y], own[x], lost[y], 12, 700) for x, y in zip(i, j)]
+    assert 0 < got.sum() < len(got)
+
+
+def test_windows_that_repeat_words_are_paired_only_if_alike(spark):
+    """Twelve texts that repeat their own words many times, and six more that are the same but for a word, in one key."""
+    words = lambda x, n: [f"{x}{k % 6}" for k in range(n)]
+    texts = [words(f"u{t}_", 45) + ["centre"] + words(f"v{t}_", 44) for t in range(12)] + [words("u99_", 45) + ["centre"] + words("v99_", 43) + [f"end{t}"] for t in range(6)]
+    made = [(t, [hash_of(w) for w in text], [7], [0], [44], [85], [-1], [1]) for t, text in enumerate(texts)]
+    rows = spark.createDataFrame(made, "rid long, w array<long>, key array<long>, l array<int>, c array<int>, r array<int>, label array<long>, parts array<int>")
+    pairs = substring_dedup._left_out(substring_dedup._contexts(rows, 46, 5), 46, 0.8)
+    got = pairs.collect()
+    assert len(got) == 15 and all(r["rid"] >= 12 for r in got)
+    assert sum(r["tree"] for r in got) == 5
+
+
+def hash_of(word):
+    return int.from_bytes(hashlib.md5(word.encode()).digest()[:8], "little", signed=True)
+
+
 def test_windows_of_a_repetition_are_few():
     tokens = np.concatenate([np.arange(100), np.tile(np.arange(200, 207), 3000), np.arange(300, 400)]).astype(np.uint64)
     odd_, flip = substring_dedup._functions(4, 1)
