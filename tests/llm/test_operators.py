@@ -291,6 +291,29 @@ def test_windows_that_repeat_words_are_paired_only_if_alike(spark):
     assert sum(r["tree"] for r in got) == 5
 
 
+def test_rows_of_a_hot_key_grow_with_its_windows(spark, monkeypatch):
+    """A passage in 40 texts, and in 40 more with a word changed every 17, which are alike to none: these are compared
+    with all others, and no pair of them becomes a row."""
+    texts, rows, staged = [], {}, substring_dedup.staged
+    for i in range(80):
+        words = [f"p{k}" for k in range(120)]
+        for k in range(i % 17, 120 if i >= 40 else 0, 17):
+            words[k] = f"c{i}_{k}"
+        texts.append(" ".join([*(f"a{i}_{k}" for k in range(i % 9)), *words, *(f"z{i}_{k}" for k in range(20))]))
+
+    def counted(df, name="stage"):
+        out = staged(df, name)
+        rows[name] = rows.get(name, 0) + out.count()
+        return out
+
+    monkeypatch.setattr(substring_dedup, "staged", counted)
+    got = substring_dedup.repeated_passages(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert {r["doc_id"] for r in got if r["class_id"] == 0 and r["end_word"] - r["start_word"] == 120} == set(range(40))
+    assert rows["pairs"] < rows["labelled"]
+    again = spark.createDataFrame([(t, [hash_of(f"w{k}") for k in range(89)] + [t], [7], [0], [44], [85], [-1], [1]) for t in range(40)], "rid long, w array<long>, key array<long>, l array<int>, c array<int>, r array<int>, label array<long>, parts array<int>")
+    assert substring_dedup._left_out(substring_dedup._contexts(again, 46, 5), 46, 0.8, every=False).count() == 39
+
+
 def hash_of(word):
     return int.from_bytes(hashlib.md5(word.encode()).digest()[:8], "little", signed=True)
 
