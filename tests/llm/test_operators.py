@@ -4,13 +4,14 @@ import base64
 import hashlib
 import re
 from collections import Counter
-from itertools import combinations
+from itertools import combinations, product
 
 import numpy as np
 import pytest
 import regex
 from pyspark.sql import functions as F
 
+from basketry import session
 from basketry.llm import bloom, bpe, exact_dedup, mixing, near_dedup, quality, rules, substring_dedup, toxicity, url_filter, warc
 from basketry.llm.queries import LLM, LLM_SQL, TOKENIZER
 from tests.compare import connect, same
@@ -314,6 +315,44 @@ def test_rows_of_a_hot_key_grow_with_its_windows(spark, monkeypatch):
     assert substring_dedup._left_out(substring_dedup._contexts(again, 46, 5), 46, 0.8, every=False).count() == 39
 
 
+def test_hot_keys_are_dealt_in_rounds(spark, monkeypatch):
+    """Windows of 60 texts that share a phrase, every third with the words around it too: with small blocks the pairs of
+    parts are dealt out in rounds, with the same result, and tables that are not read again are gone."""
+    phrase = [f"p{k}" for k in range(9)]
+    texts = [[*(f"a{i % 3 and i}_{k}" for k in range(60)), *phrase, *(f"z{i % 3 and i}_{k}" for k in range(60)), f"end{i}"] for i in range(60)]
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(texts)], "doc_id long, text string")
+    names, dealt, staged, left_out = [], [], substring_dedup.staged, substring_dedup._left_out
+    monkeypatch.setattr(substring_dedup, "staged", lambda df, name="stage": names.append(name) or staged(df, name))
+    monkeypatch.setattr(substring_dedup, "_left_out", lambda rows, *a, **b: dealt.append(rows.agg(F.sum("parts"), F.count("*")).first()) or left_out(rows, *a, **b))
+    whole = {tuple(r) for r in substring_dedup.repeated_passages(docs).collect()}
+    assert {r[0] for r in whole} == set(range(0, 60, 3)) and "compared" not in names
+    monkeypatch.setattr(substring_dedup, "BLOCK", 4)
+    before = set(session._STAGED)
+    assert {tuple(r) for r in substring_dedup.repeated_passages(docs).collect()} == whole
+    copies, n = dealt[-1]
+    assert n == dealt[0][1] > 40 and copies < n * n / 4 * 0.6 and names.count("compared") == -(-copies // (substring_dedup.COPIES * n)) > 1
+    left = {path.rsplit("/", 1)[1].rsplit("-", 1)[0] for path in set(session._STAGED) - before}
+    assert "pairs" in left and not left & {"windows", "met", "contexts"}
+
+
+@pytest.mark.parametrize("size", [5, 14, 60])
+def test_parts_of_a_hot_key_meet_once(spark, monkeypatch, size):
+    """Every two windows of a key are in one tile, whatever the parts, and a window is copied about as often as the root of the number of blocks."""
+    monkeypatch.setattr(substring_dedup, "BLOCK", 4)
+    parts = spark.range(1).select(substring_dedup._parts(F.lit(size))).first()[0]
+    assert parts == {5: 2, 14: 4, 60: 8}[size]
+    part, label = np.arange(size) * 7 % parts, np.arange(size) % 3
+    met = Counter()
+    for p in range(parts):
+        for q in range(p, parts):
+            some = np.flatnonzero((part == p) | (part == q))
+            for tile, first in substring_dedup._tiles(part[some], label[some], p, q):
+                assert len(tile) <= 8
+                at = some[tile].tolist()
+                met.update(frozenset(x) for x in (combinations(at, 2) if not first else product(at[:first], at[first:])))
+    assert set(met.values()) == {1} and len(met) == size * (size - 1) // 2
+
+
 def hash_of(word):
     return int.from_bytes(hashlib.md5(word.encode()).digest()[:8], "little", signed=True)
 
