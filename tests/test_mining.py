@@ -209,6 +209,17 @@ def test_bitmap_pairs_meet_within_stripes(spark, monkeypatch, part):
     assert counting.pair_support_bitmap(baskets.limit(0)).count() == 0
 
 
+def test_bitmap_pairs_travel_packed(spark):
+    """A row for an item of a stripe and each block of its mates, not for each pair; ids of any sign, in several stripes."""
+    rng, ids = np.random.default_rng(5), [-(2**31), -65_537, -65_536, -1, 0, 1, 65_535, 65_536, 2**31 - 1, *range(100, 140)]
+    db = [(t * 9_000, {int(i) for i in rng.choice(ids, 30, replace=False)}) for t in range(12)]
+    want = Counter(p for _, b in db for p in combinations(sorted(b), 2))
+    baskets = session.staged(spark.createDataFrame([(t, i) for t, b in db for i in b], "tid long, item int"))
+    assert found(counting.pair_support_bitmap(baskets)) == want == found(counting.pair_support_bitmap(baskets.unionByName(baskets)))
+    rows = counting.packed_pairs(baskets).collect()
+    assert len(rows) < sum(len(b) for _, b in db) * 4 and sum(len(r["mates"]) for r in rows) == sum(len(r["ones"]) for r in rows) <= 2 * sum(want.values())
+
+
 def test_sparse_transaction_numbers(spark):
     far = spark.createDataFrame([(t * 10**12 - 10**9, i) for t, b in enumerate(DB) for i in b], "tid long, item int")
     assert counting.profile(far).sparse and not counting.profile(frame(spark, DB)).sparse
